@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeated_lines
+from . import near_copies, repeated_lines, tokenizer
 from .common import table
 
 
@@ -18,8 +18,21 @@ def p5_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.strip_repeated(table(spark, sf_dir, "chunks"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf_dir, "chunks"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_stripped": p5_stripped}
+    return {
+        "p2_found": p2_found,
+        "p5_found": p5_found,
+        "p5_stripped": p5_stripped,
+        "p8_ids": p8_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
