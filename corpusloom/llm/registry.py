@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_copies, repeated_lines, tokenizer
+from . import near_copies, packing, repeated_lines, stuffing, tokenizer
 from .common import table
 
 
@@ -26,12 +26,22 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_limits"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p5_found": p5_found,
         "p5_stripped": p5_stripped,
         "p8_ids": p8_ids,
+        "p9_packed": p9_packed,
+        "p10_found": p10_found,
     }
 
 
