@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_copies, packing, repeated_lines, stuffing, tokenizer
+from . import near_copies, packing, repeated_lines, scan_noise, stuffing, tokenizer
 from .common import table
 
 
@@ -22,6 +22,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.scan_noise(table(spark, sf_dir, "chunks"))
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repair_scans(table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p5_found": p5_found,
         "p5_stripped": p5_stripped,
+        "p6_found": p6_found,
+        "p6_repaired": p6_repaired,
         "p8_ids": p8_ids,
         "p9_packed": p9_packed,
         "p10_found": p10_found,
