@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_copies, packing, repeated_lines, scan_noise, stuffing, tokenizer
+from . import answer_defects, near_copies, packing, repeated_lines, scan_noise, stuffing, tokenizer
 from .common import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer_defects.answer_defects(table(spark, sf_dir, "feedback"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, sf_dir, "chunks"))
 
@@ -45,6 +49,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
+        "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_stripped": p5_stripped,
         "p6_found": p6_found,
