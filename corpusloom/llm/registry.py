@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_defects, near_copies, packing, repeated_lines, scan_noise, stuffing, tokenizer
+from . import answer_defects, mojibake, near_copies, packing, repeated_lines, scan_noise, stuffing, tokenizer
 from .common import table
 
 
@@ -34,6 +34,14 @@ def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_noise.repair_scans(table(spark, sf_dir, "chunks"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored_fields(table(spark, sf_dir, "chunks")).select("id", "field")
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored_fields(table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_stripped": p5_stripped,
         "p6_found": p6_found,
         "p6_repaired": p6_repaired,
+        "p7_found": p7_found,
+        "p7_restored": p7_restored,
         "p8_ids": p8_ids,
         "p9_packed": p9_packed,
         "p10_found": p10_found,
