@@ -77,7 +77,7 @@ def _tables() -> list[_Open]:
 def _read(run: str, table: _Open) -> str | None:
     """The run with its valid sequences read, or None if there is none."""
     coded = run.translate(table)
-    out, at = [], 0
+    out, at, rest = [], 0, len(run)
     for m in _UTF8.finditer(coded):
         try:
             c = m.group().encode("latin-1").decode("utf-8")
@@ -86,7 +86,9 @@ def _read(run: str, table: _Open) -> str | None:
         out.append(run[at : m.start()])
         out.append(c)
         at = m.end()
-    return "".join(out) + run[at:] if at else None
+        rest -= len(m.group())
+    # a garbled stretch consists of such sequences; a rest may only be what a cut left of one
+    return "".join(out) + run[at:] if at and rest <= len(run) // 8 else None
 
 
 @lru_cache(200_000)

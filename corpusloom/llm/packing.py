@@ -31,7 +31,7 @@ from .common import materialize
 from .tokenizer import TOKENIZER_DIR, token_counts
 
 BUCKETS = 12
-SALTS = 64
+SALTS = 16
 
 
 def choose_buckets(size: np.ndarray, count: np.ndarray, buckets: int = BUCKETS) -> list[int]:
