@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_defects, mojibake, near_copies, packing, repeated_lines, scan_noise, stuffing, tokenizer
+from . import answer_defects, mojibake, near_copies, packing, personal_info, repeated_lines, scan_noise, stuffing, tokenizer
 from .common import table
 
 
@@ -22,6 +22,14 @@ def p5_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.strip_repeated(table(spark, sf_dir, "chunks"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_info.personal_info(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "feedback"))
+
+
+def p1_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_info.sanitise(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "feedback"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "chunks"))
 
@@ -56,6 +64,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_sanitised": p1_sanitised,
         "p2_found": p2_found,
         "p4_found": p4_found,
         "p5_found": p5_found,
