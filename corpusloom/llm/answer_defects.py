@@ -191,7 +191,7 @@ class Truncation:
         return bool(words) and answer.rstrip().endswith(words[-1]) and self.partial(words[-1])
 
     def __call__(self, answer: str, mode: str | None) -> bool:
-        a = answer.strip(" \t\r\n ​")
+        a = answer.strip(" \t\r\n\u00a0​")
         llm = (mode or "").strip().lower().startswith("llm")
         if a.endswith(("...", "…")):
             core = a.rstrip(".… ")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space in the sense of the line and shingle definitions: space, tab, CR, LF, no-break space.
-NARROW_SPACE = " \t\r\n "
+NARROW_SPACE = " \t\r\n\u00a0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,7 @@ def h64(s: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-RUNS = re.compile("[ \t\r\n ]+")
+RUNS = re.compile("[ \t\r\n\u00a0]+")
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85  -     　]")
 
 

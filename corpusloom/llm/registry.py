@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_defects, mojibake, near_copies, packing, personal_info, repeated_lines, scan_noise, stuffing, tokenizer
+from . import answer_defects, mojibake, near_copies, packing, page_template, personal_info, repeated_lines, scan_noise, stuffing, tokenizer
 from .common import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_template.boilerplate_lines(table(spark, sf_dir, "chunks"))
+
+
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_template.main_bodies(table(spark, sf_dir, "chunks"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_defects.answer_defects(table(spark, sf_dir, "feedback"))
 
@@ -67,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p1_sanitised": p1_sanitised,
         "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p3_bodies": p3_bodies,
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_stripped": p5_stripped,

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import h64, host_of, materialize
 
-_SPACE = re.compile("[ \t\r ]+")
+_SPACE = re.compile("[ \t\r\u00a0]+")
 
 
 def norm_line(line: str) -> str:
