@@ -91,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _P5, "p5_stripped": _P5_STRIPPED}
+    return {"p2_found": _P2, "p5_found": _P5, "p5_stripped": _P5_STRIPPED}
 
 
 _HOST = r"""regexp_replace(regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')"""
@@ -113,3 +113,14 @@ s AS (SELECT id, string_agg(x, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone)
 SELECT i.id, CASE WHEN s.id IS NULL THEN NULL ELSE coalesce(t, '') END AS clean_text, coalesce(removed, 0) AS removed
 FROM (SELECT DISTINCT id FROM chunks) i LEFT JOIN s USING (id)"""
 )
+
+_NARROW = r"'[ \t\r\n\x{a0}]+'"
+
+_P2 = f"""
+WITH c AS (SELECT DISTINCT id, lower(coalesce(title, '') || '. ' || text) AS t, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT id, list_filter(string_split_regex(t, {_NARROW}), lambda x: x <> '') AS w FROM c
+      WHERE len(list_filter(string_split_regex(text, {_NARROW}), lambda x: x <> '')) >= 20),
+s AS (SELECT DISTINCT id, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / CAST(x.n + y.n - k AS DOUBLE) >= 0.6"""
