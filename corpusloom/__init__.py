@@ -1,0 +1 @@
+"""Document question-answering data pipelines as Spark plans."""

@@ -1,19 +1,481 @@
-"""Core queries by name, each with the SQL that gives the same rows."""
+"""Core queries by name, each with the SQL that gives the same rows (``oracle.py``). All run over
+their whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracle
+from .functions import attributes, html, questions, tables, text
+from .operators import chunking, compose, documents, feedback, fusion, lexical, ranking
+from .plans.retrieve import LexicalIndex, hybrid
+from .sources import raw_files
+from .streaming import limiter
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in _QUERIES}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null")
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@query
+def paragraphs(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("para_no", "paragraph"))
+
+
+@query
+def word_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
+@query
+def pack_chunks(spark, d):
+    return chunking.chunk_table(table(spark, d, "raw_files"))
+
+
+@query
+def rejoined_sentences(spark, d):
+    return _docs(spark, d).select("doc_id", text.rejoined_sentences(F.col("text")).alias("rejoined"))
+
+
+@query
+def first_sentences(spark, d):
+    return _docs(spark, d).select("doc_id", text.first_sentences(F.col("text")).alias("snippet"))
+
+
+@query
+def lead_sentences(spark, d):
+    return _docs(spark, d).select("doc_id", text.lead_sentence(F.col("text")).alias("lead"))
+
+
+@query
+def truncated_texts(spark, d):
+    return _docs(spark, d).select("doc_id", text.truncated(F.col("text")).alias("cut"))
+
+
+@query
+def plain_punctuation(spark, d):
+    return _docs(spark, d).select("doc_id", text.plain_punctuation(F.col("text")).alias("plain"))
+
+
+@query
+def ordinals_joined(spark, d):
+    return _docs(spark, d).select("doc_id", text.ordinals_joined(F.col("text")).alias("joined"))
+
+
+@query
+def cleaned_pdf_text(spark, d):
+    return table(spark, d, "raw_files").where("file like 'doc\\_%' and body is not null").select("file", text.cleaned_pdf_text(F.col("body")).alias("cleaned"))
+
+
+@query
+def header_parse(spark, d):
+    """Raw files are written out as header and body again, then parsed."""
+    lines = [F.concat(F.lit(f"{k.upper()}: "), F.coalesce(k, F.lit("")), F.lit("\n")) for k in ("source_url", "title", "fetched")]
+    raw = table(spark, d, "raw_files").select("file", F.concat(*lines, F.lit("---\n"), F.coalesce("body", F.lit(""))).alias("value"))
+    head, body = raw_files.header_and_body(F.col("value"))
+    parsed = raw.select("file", head.alias("h"), body.alias("body"))
+    return parsed.select("file", *(F.try_element_at("h", F.lit(k)).alias(k) for k in ("source_url", "title", "fetched")), "body")
+
+
+@query
+def html_pages(spark, d):
+    """Titles and main texts of pages built from the raw files, with furniture around them."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(
+        F.lit("<html><head><title>site</title></head><body><nav>Home <a href='/a'>A</a></nav><h1>"), esc("title"), F.lit("</h1><main><p>"), esc("body"),
+        F.lit("<script>var x = 1;</script></main><footer>legal</footer></body></html>"),
+    )
+    return html.parsed_pages(table(spark, d, "raw_files").select(F.col("file").alias("url"), page.alias("html"))).select(F.col("url").alias("file"), "title", "text", F.size("links").alias("links"))
+
+
+@query
+def table_rows(spark, d):
+    """Nations by region as tables of three columns, in lines."""
+    cell = F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
+    t = table(spark, d, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", cell.alias("c")))), lambda x: x["c"]).alias("rows"))
+    head = F.array(F.lit("S.No"), F.lit("Nation"), F.lit("Region"))
+    lines = tables.row_lines(head, F.col("rows"), F.concat(F.lit("Region "), "n_regionkey"))
+    return t.select("n_regionkey", F.posexplode(lines).alias("line_no", "line"), tables.is_day_grid(head, F.col("rows")).alias("day_grid"))
+
+
+# --- attributes and questions -------------------------------------------------------------------
+
+
+def _chunks_once(spark, d):
+    return table(spark, d, "chunks").where("text is not null").groupBy("id").agg(F.min(F.concat_ws(". ", "title", "text")).alias("passage"))
+
+
+@query
+def attribute_tags(spark, d):
+    c = _chunks_once(spark, d)
+    return c.select("id", *(F.array_join(f(F.col("passage")), ",").alias(k) for k, f in attributes.READERS.items()))
+
+
+def _ratings(spark, d):
+    """One row per feedback id (rows sent twice are equal in what is used here)."""
+    cols = ("question", "answer", "mode", "rating", "comment", "at_utc")
+    return table(spark, d, "feedback").where("feedback_id is not null").groupBy("feedback_id").agg(*(F.min(c).alias(c) for c in cols))
+
+
+@query
+def contradicting_answers(spark, d):
+    r = _ratings(spark, d).where("question is not null and answer is not null")
+    asked, found = ({k: f(F.col(c)) for k, f in attributes.READERS.items()} for c in ("question", "answer"))
+    return r.select("feedback_id", attributes.contradicts(asked, found).alias("contradicts"))
+
+
+@query
+def decomposed_questions(spark, d):
+    return _ratings(spark, d).where("question is not null").select("feedback_id", F.posexplode(questions.decompose(F.col("question"))).alias("part_no", "sub_question"))
+
+
+@query
+def followup_questions(spark, d):
+    return _ratings(spark, d).where("question is not null").select("feedback_id", questions.looks_like_followup(F.col("question")).alias("followup"))
+
+
+@query
+def glued_questions(spark, d):
+    """Each question read with the question of the rating before it (by id) where it is a follow-up."""
+    r = _ratings(spark, d).where("question is not null").select("feedback_id", "question")
+    prev = r.select((F.col("feedback_id") + 1).alias("feedback_id"), F.col("question").alias("previous"))
+    j = r.join(prev, "feedback_id", "left")
+    needs = questions.looks_like_followup(F.col("question")) & F.col("previous").isNotNull()
+    return j.select("feedback_id", needs.alias("combined"), F.when(needs, questions.glued(F.col("question"), F.col("previous"))).otherwise(F.col("question")).alias("searched"))
+
+
+@query
+def question_variants(spark, d):
+    return table(spark, d, "check_cases").select("case_name", F.posexplode(questions.variants(F.col("question"))).alias("variant_no", "variant"))
+
+
+@query
+def refused_requests(spark, d):
+    return _ratings(spark, d).select("feedback_id", questions.request_error(F.col("question")).alias("refused"))
+
+
+@query
+def client_keys(spark, d):
+    """Client keys from header columns derived from the events."""
+    e = table(spark, d, "events")
+    u = F.col("user_id").cast("string")
+    cf = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" 10.0.0."), u))
+    fwd = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("10.1.0."), u, F.lit(", 10.9.9.9")))
+    host = F.when(F.col("event_id") % 5 != 2, F.concat(F.lit("10.2.0."), u))
+    return e.select("event_id", questions.client_key(cf, fwd, host).alias("client"))
+
+
+# --- lexical index and retrieval ----------------------------------------------------------------
+
+
+@query
+def token_counts(spark, d):
+    return _docs(spark, d).select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query
+def term_frequencies(spark, d):
+    return lexical.term_counts(_docs(spark, d), "doc_id", "text").withColumn("tf_weight", F.round(1 + F.log("tf"), 6))
+
+
+@query
+def document_frequencies(spark, d):
+    docs = _docs(spark, d)
+    f = lexical.document_frequencies(lexical.term_counts(docs, "doc_id", "text"), docs.count())
+    return f.withColumn("idf", F.round("idf", 6))
+
+
+@query
+def tfidf_weights(spark, d):
+    return LexicalIndex(_docs(spark, d), "doc_id", "text").weights.withColumn("weight", F.round("weight", 6))
+
+
+def _search(spark, d, k):
+    index = LexicalIndex(_docs(spark, d), "doc_id", "text")
+    return index.search(table(spark, d, "check_cases").select("case_name", "question"), "case_name", "question", k)
+
+
+@query
+def tfidf_topk(spark, d):
+    return _search(spark, d, 3).withColumn("score", F.round("score", 6))
+
+
+def _found(spark, d, k):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source_url", F.lit("")).alias("source_url"), F.coalesce("fetched", F.lit("")).alias("fetched"))
+    return _search(spark, d, k).join(docs, "doc_id")
+
+
+@query
+def conflict_flags(spark, d):
+    return compose.conflict_flag(_found(spark, d, 3), "case_name")
+
+
+@query
+def context_budget(spark, d):
+    c = compose.context(_found(spark, d, 7).withColumn("group_no", F.lit(0)), "case_name")
+    return c.select("case_name", F.size("blocks").alias("blocks"), "chars", F.md5(F.array_join("blocks", "\n\n")).alias("context_md5"))
+
+
+@query
+def cited_sources(spark, d):
+    hits = ranking.first_seen(_found(spark, d, 7), ["case_name", "source_url"], [F.col("rank").asc()])
+    return hits.select("case_name", "source_url", "title", "rank")
+
+
+@query
+def extractive_answers(spark, d):
+    best = _found(spark, d, 1).select("case_name", "title", "text")
+    asked = table(spark, d, "check_cases").select("case_name", F.col("question").alias("sub_question"), F.lit(0).alias("part_no"), F.lit(False).alias("conflict"))
+    return compose.extractive_answers(asked.join(best, "case_name", "left"), "case_name")
+
+
+@query
+def vocabulary_overlaps(spark, d):
+    """Shared vocabulary of each document with the next one by id."""
+    a = _docs(spark, d).select("doc_id", "text")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
+    return a.join(b, "doc_id").select("doc_id", F.round(text.vocabulary_overlap(F.col("text"), F.col("next_text")), 6).alias("overlap"))
+
+
+# --- dense search and fusion --------------------------------------------------------------------
+
+
+def _dense(spark, d, k=None):
+    e = table(spark, d, "embeddings")
+    return ranking.vector_scores(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", "query_id", k)
+
+
+
+
+@query
+def cosine_topk(spark, d):
+    best = ranking.top_k(_dense(spark, d, 10), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()], 10)
+    return best.withColumn("score", F.round("score", 6))
+
+
+@query
+def cosine_rank(spark, d):
+    return ranking.exact_rank(_dense(spark, d), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()]).select("query_id", "vec_id", "rank")
+
+
+def _keyword(spark, d):
+    """Keyword scores between documents that stand for the vectors of the same ids."""
+    docs = _docs(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("vec_id"), "text")
+    index = LexicalIndex(docs, "vec_id", "text")
+    asked = index.weights.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return lexical.scores(index.weights, asked, "vec_id", "query_id")
+
+
+@query
+def rrf_fused(spark, d):
+    return fusion.fuse(_dense(spark, d), _keyword(spark, d), "query_id", "vec_id").withColumn("fused", F.round("fused", 9))
+
+
+@query
+def interleaved(spark, d):
+    """Dense and keyword order of each query taking turns; the keyword order holds scored items only."""
+    dense = ranking.exact_rank(_dense(spark, d), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()], "pos").withColumn("variant", F.lit(0))
+    key = ranking.exact_rank(_keyword(spark, d), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()], "pos").withColumn("variant", F.lit(1))
+    cols = ["query_id", "vec_id", "variant", "pos"]
+    return fusion.interleave(dense.select(*cols).unionByName(key.select(*cols)), "query_id", "vec_id")
+
+
+def _items(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("source"))
+
+
+@query
+def capped_pool(spark, d):
+    ranked = ranking.exact_rank(_dense(spark, d), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()]).join(_items(spark, d), "vec_id").withColumn("contradicts", F.col("vec_id") % 7 == 0)
+    return fusion.capped_pool(ranked, "query_id", "source").select("query_id", "vec_id", "kept", "pool_pos")
+
+
+@query
+def hybrid_retrieve(spark, d):
+    return hybrid(_dense(spark, d), _keyword(spark, d), _items(spark, d), "query_id", "vec_id", "source", 12).select("query_id", "vec_id", "rank")
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+
+def _matches(spark, d, k):
+    cases = table(spark, d, "check_cases").where("size(must) > 0").select("case_name", F.col("must")[0].alias("pattern"))
+    hit = F.regexp_like(text.ordinals_joined(F.col("text")), F.concat(F.lit("(?i)"), "pattern"))
+    return _found(spark, d, k).join(cases, "case_name").select("case_name", "rank", hit.alias("hit"))
+
+
+@query
+def first_match_ranks(spark, d):
+    cases = table(spark, d, "check_cases").where("size(must) > 0").select("case_name")
+    first = _matches(spark, d, 12).where("hit").groupBy("case_name").agg(F.min("rank").alias("first_rank"))
+    return cases.join(first, "case_name", "left")
+
+
+@query
+def hit_rates(spark, d):
+    r = first_match_ranks(spark, d)
+    within = lambda k: F.sum((F.coalesce("first_rank", F.lit(99)) <= k).cast("int"))
+    return r.agg(F.count("*").alias("cases"), within(3).alias("top3"), within(7).alias("top7"), within(12).alias("top12"), F.round(within(3) / F.count("*"), 6).alias("hit_at_3"))
+
+
+@query
+def answer_checks(spark, d):
+    answers = extractive_answers(spark, d).withColumn("answer", text.plain_punctuation(F.col("answer")))
+    cases = table(spark, d, "check_cases").join(answers, "case_name").withColumn("mode", F.lit("llm (replay)"))
+    return compose.answer_check(cases).select("case_name", "passed", F.array_join("missing", "\n").alias("missing"), F.array_join("forbidden", "\n").alias("forbidden"))
+
+
+@query
+def label_counts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return table(spark, d, "page_labels").join(docs, "doc_id").groupBy(F.coalesce("source", F.lit("?")).alias("source_name"), "label").agg(F.count("*").alias("n"))
+
+
+# --- documents ----------------------------------------------------------------------------------
+
+
+@query
+def skipped_urls(spark, d):
+    u = table(spark, d, "chunks").select(F.col("source_url").alias("url")).where("source_url is not null").distinct()
+    return u.select("url", documents.skipped_url(F.col("url"), documents.SKIP_PATHS).alias("skipped"), F.col("url").rlike(documents.STATIC_FILES).alias("static_file"), text.is_document(F.col("url"), "/drive/").alias("is_doc"))
+
+
+@query
+def page_slugs(spark, d):
+    u = table(spark, d, "chunks").select(F.col("source_url").alias("url")).where("source_url is not null").distinct()
+    return u.select("url", text.slug(F.col("url")).alias("slug"))
+
+
+@query
+def inventory_fields(spark, d):
+    i = table(spark, d, "inventory").where("doc_key is not null and url is not null").select("doc_key", "kind", "drive_id", "url", "link_text", "doc_name").distinct()
+    return i.select(
+        "doc_key", text.document_title(F.col("link_text"), F.col("doc_name"), F.col("url")).alias("doc_title"), F.coalesce(text.drive_id(F.col("url"), "[a-z0-9.-]+/drive"), F.lit("")).alias("drive_file"),
+        text.upload_month(F.col("url")).alias("uploaded"), F.coalesce(text.output_name(F.col("kind"), F.col("drive_id"), F.col("url")), F.lit("")).alias("out_file"),
+    )
+
+
+_EXCLUDED = ("tender", "quotation", r"\bform\b")
+
+
+@query
+def convertible_documents(spark, d):
+    rows = documents.by_priority(documents.convertible(documents.first_links(table(spark, d, "inventory")), _EXCLUDED))
+    return rows.select("doc_key", "doc_title", "bytes", "newest")
+
+
+@query
+def first_links(spark, d):
+    return documents.first_links(table(spark, d, "inventory")).select("doc_key", "url", "found_on")
+
+
+@query
+def latest_status(spark, d):
+    return documents.latest_status(table(spark, d, "ingest_status")).select("doc_key", "outcome", "words", "seconds")
+
+
+@query
+def run_summary(spark, d):
+    return documents.latest_status(table(spark, d, "ingest_status")).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+
+
+@query
+def unprocessed_documents(spark, d):
+    return documents.to_do(documents.first_links(table(spark, d, "inventory")), table(spark, d, "ingest_status")).select("doc_key")
+
+
+_ROLL, _MAIL = r"\b(BT|MT|BA|MS|PH|MB|DT|PD)\s?\d{2}\s?[A-Z]{2,5}\s?[0-9O]{2,4}\b", r"@students\.[a-z]+\.example"
+
+
+@query
+def dispositions(spark, d):
+    t = table(spark, d, "documents")
+    return t.select("doc_id", documents.disposition(F.col("text"), F.lit(None).cast("string"), _ROLL, _MAIL).alias("outcome"))
+
+
+@query
+def snapshot_changes(spark, d):
+    """First against last saved body of every address."""
+    files = table(spark, d, "raw_files").where("source_url is not null and source_url <> ''").select("source_url", "file", "body", "stale", F.coalesce("fetched", F.lit("")).alias("fetched"))
+    order = [F.col("fetched"), F.col("file")]
+    stored = ranking.first_seen(files, ["source_url"], [c.asc() for c in order])
+    last = ranking.first_seen(files, ["source_url"], [c.desc() for c in order])
+    fetched = last.select("source_url", "body", F.col("file").startswith("doc_").__invert__().alias("html"), F.col("stale").isNull().alias("reachable"))
+    return documents.snapshot_diff(stored, fetched, "source_url")
+
+
+@query
+def crawl_depths(spark, d):
+    """Breadth-first depths over links root -> page -> document, from the roots of all hosts."""
+    i = table(spark, d, "inventory").where("found_on is not null and url is not null").select("found_on", "url").distinct()
+    root = F.regexp_extract("found_on", r"^(https?://[^/]+/)", 1)
+    links = i.select(root.alias("src"), F.col("found_on").alias("dst")).unionByName(i.select(F.col("found_on").alias("src"), F.col("url").alias("dst"))).where("src <> ''").distinct()
+    return documents.breadth_first(links, i.select(root.alias("url")).where("url <> ''"), 3)
+
+
+# --- ratings, limits, events --------------------------------------------------------------------
+
+
+@query
+def accepted_ratings(spark, d):
+    return feedback.accepted(_ratings(spark, d)).select("feedback_id", "rating", "question", "mode", F.length("answer").alias("answer_chars"), "comment")
+
+
+@query
+def rating_summary(spark, d):
+    return feedback.summary(_ratings(spark, d))
+
+
+@query
+def rating_modes(spark, d):
+    return feedback.modes(_ratings(spark, d))
+
+
+@query
+def attempt_counts(spark, d):
+    return feedback.attempts(table(spark, d, "events"), "user_id", "ts", 3600).select("event_id", "attempts")
+
+
+@query
+def rate_limited(spark, d):
+    """Accepted and refused events of each user under small limits (a fold; no SQL)."""
+    return limiter.limited_batch(table(spark, d, "events"), "user_id", "ts", "event_id", per_minute=1, per_day=3)
+
+
+@query
+def daily_events(spark, d):
+    """Beyond the inventory of operators: event-time windows over the event table."""
+    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    day = F.date_trunc("day", "at").cast("date")
+    return e.groupBy(day.alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Questions answered from the documents: chunks of an index, search, and the extractive answer."""
+    return extractive_answers(spark, sf_dir)
