@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: One Unicode white-space character, spelled out so that every regex engine agrees on it.
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def staged(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row. A plain projection would be merged into its
+    users, and inside a lambda be computed for every element; a generator isn't."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 

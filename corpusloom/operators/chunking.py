@@ -5,41 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import paragraphs, words
+from ..functions.text import paragraphs, staged, words
 
+SIZE, OVERLAP = 150, 30
+_SPANS = "array<struct<s:int,e:int>>"
 
-def windows(w: Column, size: int = 150, overlap: int = 30) -> Column:
-    """Windows of an array of words every size - overlap words; the last may lie in the one before."""
-    step = max(size - overlap, 1)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " "))
 
+def chunk_spans(lengths: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Chunks of a body as word positions [s, e) from the word counts of its paragraphs. Every chunk
+    is a contiguous run of the body's words, so the fold carries two numbers and no text: the open
+    chunk grows by whole paragraphs; one that would exceed ``size`` is closed and its last
+    ``overlap`` words open the next; a paragraph longer than ``size`` closes the open chunk and is
+    cut into windows of its own, every size - overlap words."""
+    pair = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.array().cast(_SPANS).alias("out"))
 
-def packed(body: Column, size: int = 150, overlap: int = 30) -> Column:
-    """Chunks of a body, in order: a fold over its paragraphs that carries the open chunk's words.
-    After an overflow the last ``overlap`` words open the next chunk; a paragraph longer than
-    ``size`` closes the open chunk and is cut into windows of its own."""
-    paras = F.transform(paragraphs(body), words)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("cur"))
-    none = F.array().cast("array<string>")
+    def state(s: Column, e: Column, out: Column) -> Column:
+        return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), out.alias("out"))
 
-    def flushed(s: Column) -> Column:
-        return F.when(F.size(s["cur"]) > 0, F.array_append(s["out"], F.array_join(s["cur"], " "))).otherwise(s["out"])
+    def step(st: Column, n: Column) -> Column:
+        s, e, out = st["s"], st["e"], st["out"]
+        closed = F.when(e > s, F.array_append(out, pair(s, e))).otherwise(out)
+        cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(max(size - overlap, 1))), lambda k: pair(e + k, e + F.least(k + size, n)))
+        long = state(e + n, e + n, F.concat(closed, cut))
+        full = state(F.greatest(s, e - overlap), e + n, closed)
+        return F.when(n > size, long).when((e - s + n > size) & (e > s), full).otherwise(state(s, e + n, out))
 
-    def step(s: Column, p: Column) -> Column:
-        over = (F.size(s["cur"]) + F.size(p) > size) & (F.size(s["cur"]) > 0)
-        kept = F.when(F.size(s["cur"]) > overlap, F.slice(s["cur"], -overlap, overlap)).otherwise(s["cur"]) if overlap else none
-        return F.when(F.size(p) > size, F.struct(F.concat(flushed(s), windows(p, size, overlap)).alias("out"), none.alias("cur"))).otherwise(
-            F.struct(F.when(over, flushed(s)).otherwise(s["out"]).alias("out"), F.concat(F.when(over, kept).otherwise(s["cur"]), p).alias("cur"))
-        )
+    return F.aggregate(lengths, start, step, lambda st: F.when(st["e"] > st["s"], F.array_append(st["out"], pair(st["s"], st["e"]))).otherwise(st["out"]))
 
-    return F.aggregate(paras, start, step, flushed)
+
+def with_chunks(df: DataFrame, body: str, out: str = "chunks", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """df with its body's chunks as an array; null and blank bodies have none."""
+    rows = staged(df, "_words", F.transform(paragraphs(F.coalesce(body, F.lit(""))), words))
+    rows = staged(rows, "_cut", F.struct(F.flatten("_words").alias("w"), chunk_spans(F.transform("_words", F.size), size, overlap).alias("spans"))).drop("_words")
+    return rows.withColumn(out, F.transform("_cut.spans", lambda x: F.array_join(F.slice("_cut.w", x["s"] + 1, x["e"] - x["s"]), " "))).drop("_cut")
 
 
 def chunk_table(files: DataFrame) -> DataFrame:
     """Raw files (file, source_url, title, fetched, body) -> chunks with ids ``<stem>::<ordinal>``."""
-    stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    rows = files.select("file", "source_url", "title", "fetched", stem.alias("stem"), F.posexplode(packed(F.coalesce("body", F.lit("")))).alias("chunk_no", "text"))
+    rows = with_chunks(files.select("file", "source_url", "title", "fetched", F.regexp_replace("file", r"\.[^.]*$", "").alias("stem"), "body"), "body")
+    rows = rows.select("file", "source_url", "title", "fetched", "stem", F.posexplode("chunks").alias("chunk_no", "text"))
     return rows.select(
         F.concat("stem", F.lit("::"), "chunk_no").alias("id"), "text", F.coalesce("source_url", F.lit("")).alias("source_url"),
         F.coalesce("title", "stem").alias("title"), F.coalesce("fetched", F.lit("")).alias("fetched"), "file", "chunk_no",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import tokens
+from ..functions.text import staged, tokens
 from .ranking import top_k
 
 # English stop words, dropped before pairs are formed (a parameter).
@@ -16,18 +17,17 @@ STOP_WORDS = tuple(
 )
 
 
-def terms(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Tokens without stop words, then pairs of neighbours."""
-    kept = F.filter(tokens(c), lambda t: ~t.isin(*stop))
-    n = F.size(kept)
-    first = F.when(n > 1, F.slice(kept, 1, F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    second = F.when(n > 1, F.slice(kept, 2, F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(kept, F.zip_with(first, second, lambda a, b: F.concat_ws(" ", a, b)))
+def with_terms(df: DataFrame, text: str, out: str = "terms", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """df with the terms of a text: tokens without stop words, then pairs of neighbours. The steps are
+    columns of their own, so that no token array is built twice."""
+    rows = staged(df, "_t", F.filter(tokens(F.coalesce(text, F.lit(""))), lambda t: ~t.isin(*stop)))
+    pairs = F.when(F.size("_t") > 1, F.zip_with(F.expr("slice(_t, 1, size(_t) - 1)"), F.expr("slice(_t, 2, size(_t) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return rows.withColumn(out, F.concat("_t", F.coalesce(pairs, F.array().cast("array<string>")))).drop("_t")
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(key, term, tf)."""
-    return docs.select(key, F.explode(terms(F.coalesce(text, F.lit("")), stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return with_terms(docs.select(key, text), text, "term", stop).select(key, F.explode("term").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(counts: DataFrame, n_docs: int, min_df: int = 2, max_share: float = 0.9) -> DataFrame:
@@ -41,8 +41,8 @@ def weights(counts: DataFrame, frequencies: DataFrame, key: str) -> DataFrame:
     """(key, term, weight), rows of unit length. The vocabulary joins on the term, a shuffle key
     that the frequencies were aggregated by already."""
     raw = counts.join(frequencies, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a document's terms
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def scores(index: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:

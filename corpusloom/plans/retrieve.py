@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import READERS, contradicts
 from ..operators import fusion, lexical
-from ..operators.ranking import exact_rank
+from ..operators.ranking import exact_rank, shared_table
 
 
 class LexicalIndex:
@@ -15,7 +15,7 @@ class LexicalIndex:
 
     def __init__(self, docs: DataFrame, key: str, text: str, min_df: int = 2, max_share: float = 0.9):
         self.key = key
-        counts = lexical.term_counts(docs, key, text)
+        counts = shared_table(lexical.term_counts(docs, key, text), "terms")
         self.vocabulary = lexical.document_frequencies(counts, docs.count(), min_df, max_share)
         self.weights = lexical.weights(counts, self.vocabulary, key)
 
