@@ -20,7 +20,7 @@ def allowed(url: Column, robots: Column, agent: str = "*") -> Column:
         seen: dict[str, urllib.robotparser.RobotFileParser] = {}
 
         def one(u, t):
-            if t is None or u is None:
+            if not isinstance(t, str) or not isinstance(u, str):
                 return True
             if t not in seen:
                 p = urllib.robotparser.RobotFileParser()
