@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import urllib.robotparser
 from collections.abc import Callable, Iterator
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,13 +17,13 @@ def allowed(url: Column, robots: Column, agent: str = "*") -> Column:
 
     @F.pandas_udf("boolean")
     def check(urls: pd.Series, texts: pd.Series) -> pd.Series:
-        seen: dict[str, urllib.robotparser.RobotFileParser] = {}
+        seen: dict[str, RobotFileParser] = {}
 
         def one(u, t):
             if not isinstance(t, str) or not isinstance(u, str):
                 return True
             if t not in seen:
-                p = urllib.robotparser.RobotFileParser()
+                p = RobotFileParser()
                 p.parse(t.splitlines())
                 seen[t] = p
             return seen[t].can_fetch(agent, u)
