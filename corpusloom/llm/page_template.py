@@ -142,7 +142,7 @@ _REC = "id string, host string, doc boolean, lines array<struct<f:smallint,full:
 
 def page_records(chunks: DataFrame) -> DataFrame:
     src = chunks.where("id is not null and text is not null").select("id", host_of(F.col("source_url")).alias("host"), F.coalesce(F.col("file").startswith("doc_"), F.lit(False)).alias("doc"), "text")
-    return materialize(src.mapInArrow(_records, _REC), "lines")
+    return materialize(src.mapInArrow(_records, _REC).dropDuplicates(["id"]), "lines")
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +244,7 @@ def boilerplate_lines(chunks: DataFrame) -> DataFrame:
     """(id, line_no) of the lines of web pages that aren't main content."""
     records = page_records(chunks)
     shared = chunks.sparkSession.sparkContext.broadcast(shared_classes(records))
-    pages = records.where("not doc").dropDuplicates(["id"])
+    pages = records.where("not doc")
     line = pages.where("host is not null").select("id", "host", F.posexplode("lines").alias("no", "l")).where("l.full <> 0").select("id", "host", "no", F.col("l.full").alias("full"))
     own = line.join(host_classes(records), ["host", "full"], "left_semi").groupBy("id").agg(F.collect_list("no").alias("own"))
     return pages.join(own, "id", "left").select("id", "lines", "own").mapInArrow(_decide(shared), "id string, line_no int")
