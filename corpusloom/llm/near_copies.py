@@ -39,7 +39,7 @@ TABLES = 12
 RUN = 2048
 EXPANDED = 32
 #: A key table of at most so many rows may be broadcast (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 MIN_WORDS = 20
 
 _U = np.uint64
@@ -58,7 +58,7 @@ def _seeds(n: int) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, w: str) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 500_000:
             self.clear()
         v = self[w] = xxhash.xxh3_64_intdigest(w)
         return v
@@ -131,7 +131,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if c not in seen:
                 seen.add(c)
                 fresh.append(i)
-        if len(seen) > 2_000_000:
+        if len(seen) > 500_000:
             seen.clear()
         if not fresh:
             continue
