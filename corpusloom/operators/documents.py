@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import document_title, script_share, strip, word_count
+from ..sources.shared import shared_table
 from .ranking import first_seen
 
 MAX_BYTES, MIN_WORDS = 25 * 1024 * 1024, 30
@@ -87,8 +88,6 @@ def mark_stale(pages: DataFrame, diff: DataFrame, key: str, day: Column) -> Data
 def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int, blocked: Column | None = None) -> DataFrame:
     """(url, depth) reachable from the seeds over (src, dst), level by level: a frontier is a table,
     visited pages are an anti-join, and each level is written so that lineage stays short."""
-    from .ranking import shared_table
-
     level = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     if blocked is not None:
         level = level.where(~blocked)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import READERS, contradicts
 from ..operators import fusion, lexical
-from ..operators.ranking import exact_rank, shared_table
+from ..operators.ranking import exact_rank
+from ..sources.shared import shared_table
 
 
 class LexicalIndex:
