@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_table as materialize  # noqa: F401
+
 #: White space in the sense of the line and shingle definitions: space, tab, CR, LF, no-break space.
 NARROW_SPACE = " \t\r\n\u00a0"
 
@@ -17,27 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share; set here only where the session names none (tests)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table into the shared folder and read it back: lineage is cut and a lost
-    executor costs nothing but a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loom-{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def host_of(url: Column) -> Column:
     """Lower-cased host of a URL without a leading ``www.``; null where there is none."""
     h = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
