@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,3 +57,26 @@ def scores(index: DataFrame, asked: DataFrame, key: str, query_key: str) -> Data
 
 def search(index: DataFrame, asked: DataFrame, key: str, query_key: str, k: int) -> DataFrame:
     return top_k(scores(index, asked, key, query_key), [query_key], [F.round("score", 9).desc(), F.col(key).asc()], k)
+
+
+DIMS = 512
+
+
+def hashed_vectors(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, embedding): unit term weights folded into DIMS signed places by the terms' hash. Stands in
+    for an encoder where there is none; rows without terms get a vector of zeros."""
+    h = F.md5("term")
+    place = (F.conv(F.substring(h, 1, 3), 16, 10).cast("int") % DIMS).alias("place")
+    signed = F.col("weight") * F.when(F.substring(h, 4, 1) < "8", 1.0).otherwise(-1.0)
+    folded = terms.groupBy(key, place).agg(F.sum(signed).alias("v"))
+    listed = rows.select(key).join(folded.groupBy(key).agg(F.collect_list(F.struct("place", "v")).alias("at")), key, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = np.zeros((b.num_rows, DIMS))
+            for i, (p, v) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if p:
+                    m[i, p] = v
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(m), pa.list_(pa.float64()))], [key, "embedding"])
+
+    return listed.select(key, F.col("at.place").alias("place"), F.col("at.v").alias("v")).mapInArrow(run, f"{key} bigint, embedding array<double>")

@@ -255,6 +255,59 @@ SQL["capped_pool"] = f"WITH {_DENSE}, {_pool('dr', 'vec_id % 7 = 0', 'rank')} SE
 SQL["hybrid_retrieve"] = f"""WITH {_FUSE}, fr AS (SELECT fu.*, label, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, fu.vec_id) AS r FROM fu JOIN embeddings e ON e.vec_id = fu.vec_id),
 {_pool('fr', 'false', 'r')} SELECT query_id, vec_id, pool_pos AS rank FROM pp WHERE pool_pos <= 12"""
 
+# --- the whole path from questions to answers
+
+
+def _contradicts(q: str, t: str) -> str:
+    pairs = [(f(q), f(t)) for f in (_programmes, _years, _genders)]
+    return " OR ".join(f"({a} <> '' AND {b} <> '' AND NOT list_has_any(string_split({a}, ','), string_split({b}, ',')))" for a, b in pairs)
+
+
+_PLACE = "CAST('0x' || substr(md5(term), 1, 3) AS INTEGER) % 512 AS place, sum(CASE WHEN substr(md5(term), 4, 1) < '8' THEN weight ELSE -weight END) AS v"
+_CUT = "CASE WHEN length(text) > 1000 THEN regexp_replace(left(text, 1000), '(?s) [^ ]*$', '') || '...' ELSE text END"
+_SNIPPET = strip("array_to_string(string_split(regexp_replace(" + strip("text") + ", '([.!?])" + WS + "+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ')")
+SQL["answered_questions"] = f"""WITH RECURSIVE docs AS (SELECT doc_id, text, coalesce(title, '') AS title, coalesce(source_url, '') AS source_url, coalesce(fetched, '') AS fetched FROM documents WHERE text IS NOT NULL),
+w AS (SELECT case_name, question, {strip('question')} AS whole FROM check_cases WHERE question IS NOT NULL),
+p AS (SELECT *, list_filter(list_transform(string_split_regex({_bare('whole')}, {_lit(Q.SPLIT)}), lambda x: {strip('x')}), lambda x: x <> '') AS parts FROM w),
+k AS (SELECT *, list_filter(parts, lambda x: len({words('x')}) >= 3) AS kept FROM p),
+f AS (SELECT case_name, question, whole, kept, 0 AS i, '' AS topic, []::VARCHAR[] AS out FROM k WHERE len(parts) >= 2 AND len(kept) >= 2
+  UNION ALL SELECT case_name, question, whole, kept, i + 1, {_topic('said')}, list_append(out, said) FROM (SELECT *, {_SAID} AS said FROM f WHERE i < len(kept))),
+pa AS (SELECT case_name, unnest(range(0, len(out))) AS part_no, unnest(out) || CASE WHEN whole LIKE '%?' THEN '?' ELSE '' END AS sub FROM f WHERE i = len(kept)
+  UNION ALL SELECT case_name, -1, question FROM f WHERE i = len(kept)
+  UNION ALL SELECT case_name, 0, whole FROM k WHERE len(parts) < 2 OR len(kept) < 2),
+pt AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY case_name, part_no) AS part_id, {_bare('sub')} AS b FROM pa),
+ask AS MATERIALIZED (SELECT part_id * 2 AS ask_id, part_id, 0 AS variant, sub AS text FROM pt UNION ALL SELECT part_id * 2 + 1, part_id, 1, b FROM pt WHERE b <> '' AND b <> sub),
+{_index('doc_id', 'docs', 'tf')}, {_FREQ}, {_weights('doc_id', 'tf', 'wt')}, {_index('ask_id', 'ask', 'qtf')}, {_weights('ask_id', 'qtf', 'qw')},
+ke AS (SELECT ask_id, doc_id, sum(wt.weight * qw.weight) AS score FROM wt JOIN qw USING (term) GROUP BY ask_id, doc_id),
+dv AS (SELECT doc_id, {_PLACE} FROM wt GROUP BY doc_id, place), qv AS (SELECT ask_id, {_PLACE} FROM qw GROUP BY ask_id, place),
+pr AS (SELECT ask_id, doc_id, sum(dv.v * qv.v) AS score FROM dv JOIN qv USING (place) GROUP BY ask_id, doc_id),
+de AS MATERIALIZED (SELECT ask.ask_id, part_id, variant, docs.doc_id, coalesce(pr.score, 0) AS score, coalesce(ke.score, 0) AS keyword FROM ask CROSS JOIN docs
+  LEFT JOIN pr ON pr.ask_id = ask.ask_id AND pr.doc_id = docs.doc_id LEFT JOIN ke ON ke.ask_id = ask.ask_id AND ke.doc_id = docs.doc_id),
+rr AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY round(score, 9) DESC, doc_id) AS rd, row_number() OVER (PARTITION BY ask_id ORDER BY round(keyword, 9) DESC, doc_id) AS rk FROM de),
+fu AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY 1.0::DOUBLE / (30 + rd) + 0.5::DOUBLE / (30 + rk) DESC, doc_id) AS pos FROM rr),
+it AS (SELECT part_id, doc_id, row_number() OVER (PARTITION BY part_id ORDER BY min(pos * 2 + variant)) AS rank FROM fu GROUP BY part_id, doc_id),
+po AS (SELECT it.*, case_name, part_no, sub, docs.* EXCLUDE (doc_id), title || '. ' || text AS passage FROM it JOIN pt USING (part_id) JOIN docs USING (doc_id) WHERE rank <= 480),
+co AS (SELECT *, {_contradicts('sub', 'passage')} AS con FROM po),
+kp AS (SELECT *, NOT con AND row_number() OVER (PARTITION BY part_id, source_url, con ORDER BY rank) <= 4 AS kept FROM co),
+fd AS MATERIALIZED (SELECT kp.* EXCLUDE (rank), de.score, CAST(row_number() OVER (PARTITION BY kp.part_id ORDER BY kept DESC, rank) AS INTEGER) AS rank FROM kp JOIN de ON de.ask_id = kp.part_id * 2 AND de.doc_id = kp.doc_id),
+cf AS (SELECT o.part_id, coalesce(o.source_url <> t.source_url AND {_overlap('o.text', 't.text')} < 0.15 AND t.score > 0.15, false) AS conflict FROM fd o LEFT JOIN fd t ON t.part_id = o.part_id AND t.rank = 2 WHERE o.rank = 1),
+sn AS (SELECT part_id, title, {_SNIPPET} AS s FROM fd WHERE rank = 1),
+sa AS (SELECT case_name, part_no, coalesce(conflict, false) AS conflict, CASE WHEN sn.part_id IS NULL THEN 'No good match found for: ' || sub || '.' ELSE 'On "' || sub || '" — ' || title || ' says: ' ||
+  CASE WHEN length(s) > 320 THEN regexp_replace(left(s, 320), '(?s) [^ ]*$', '') || '...' ELSE s END ||
+  CASE WHEN conflict THEN chr(10) || chr(10) || '(Note: the two best passages come from different pages with little shared content.)' ELSE '' END END AS said
+  FROM pt LEFT JOIN sn USING (part_id) LEFT JOIN cf USING (part_id) WHERE part_no >= 0),
+an AS (SELECT case_name, string_agg(said, chr(10) || chr(10) ORDER BY part_no) AS answer, CAST(sum(CAST(conflict AS INTEGER)) AS INTEGER) AS conflicts FROM sa GROUP BY case_name),
+bl AS MATERIALIZED (SELECT case_name, part_no, source_url || chr(1) || left(text, 80) AS key, row_number() OVER (PARTITION BY case_name ORDER BY part_no, rank) AS nth, '[' || title || ' — ' || source_url ||
+  CASE WHEN fetched <> '' AND (contains(source_url, 'drive.google.com') OR lower(source_url) LIKE '%.pdf') THEN ' — dated ' || fetched ELSE '' END || ']' || chr(10) || {_CUT} AS block
+  FROM fd WHERE rank <= 7 AND (part_no >= 0 OR rank <= 3)),
+cx AS (SELECT case_name, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS chars, -9 AS stopped, []::VARCHAR[] AS keys, []::VARCHAR[] AS blocks FROM (SELECT DISTINCT case_name FROM bl)
+  UNION ALL SELECT case_name, nth, CASE WHEN skip OR full_ THEN chars ELSE chars + length(block) END, CASE WHEN NOT skip AND full_ THEN part_no ELSE stopped END,
+    CASE WHEN skip OR full_ THEN keys ELSE list_append(keys, key) END, CASE WHEN skip OR full_ THEN blocks ELSE list_append(blocks, block) END
+  FROM (SELECT cx.case_name, bl.nth, chars, stopped, keys, blocks, key, block, part_no, part_no = stopped OR list_contains(keys, key) AS skip, chars + length(block) > 7000 AND len(blocks) > 0 AS full_
+    FROM cx JOIN bl ON bl.case_name = cx.case_name AND bl.nth = cx.nth + 1)),
+ct AS (SELECT case_name, arg_max(chars, nth) AS chars, arg_max(blocks, nth) AS blocks FROM cx GROUP BY case_name)
+SELECT case_name, answer, conflicts, CAST(len(blocks) AS INTEGER) AS blocks, CAST(chars AS INTEGER) AS chars, md5(array_to_string(blocks, chr(10) || chr(10))) AS context_md5 FROM an LEFT JOIN ct USING (case_name)"""
+
 # --- documents
 
 _URLS = "u AS (SELECT DISTINCT source_url AS url FROM chunks WHERE source_url IS NOT NULL)"

@@ -1,12 +1,13 @@
-"""Retrieval plans: keyword search over an index built from documents, and the hybrid path."""
+"""Retrieval plans: keyword search over an index built from documents, the hybrid path, and whole answers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import questions as asking
 from ..functions.attributes import READERS, contradicts
-from ..operators import fusion, lexical
+from ..operators import compose, fusion, lexical
 from ..operators.ranking import exact_rank
 from ..sources.shared import shared_table
 
@@ -38,3 +39,45 @@ def hybrid(dense: DataFrame, keyword: DataFrame, items: DataFrame, query_key: st
     rows = ranked.where(F.col("rank") <= fusion.POOL * fusion.SCAN).join(items.select(key, source), key)
     rows = rows.withColumn("contradicts", F.lit(False) if contradicts_with is None else contradicts_with)
     return fusion.rerank(fusion.capped_pool(rows, query_key, source), query_key, None, k)
+
+
+PASSAGES, WHOLE_PASSAGES = 7, 3
+
+
+def asked_phrases(cases: DataFrame, case_key: str, question: str) -> DataFrame:
+    """(ask_id, part_id, case_key, part_no, sub_question, variant, phrase): one row for every phrasing of
+    every part of a question. Compound questions are asked undivided too, as part -1. Phrasings of one
+    part share its part_id, the ask_id of the part as asked. Null questions are left out."""
+    asked = cases.where(F.col(question).isNotNull())
+    parts = asked.select(case_key, F.posexplode(asking.decompose(F.col(question))).alias("part_no", "sub_question"))
+    compound = parts.where("part_no = 1").select(case_key)
+    whole = asked.join(compound, case_key, "left_semi").select(case_key, F.lit(-1).alias("part_no"), F.col(question).alias("sub_question"))
+    phrases = parts.unionByName(whole).select(case_key, "part_no", "sub_question", F.posexplode(asking.variants(F.col("sub_question"))).alias("variant", "phrase"))
+    rows = shared_table(phrases.withColumn("ask_id", F.monotonically_increasing_id()), "asked")
+    return rows.join(rows.where("variant = 0").select(case_key, "part_no", F.col("ask_id").alias("part_id")), [case_key, "part_no"])
+
+
+def retrieved(asked: DataFrame, dense: DataFrame, keyword: DataFrame, passages: DataFrame, case_key: str, key: str, k: int = PASSAGES) -> DataFrame:
+    """The k best passages of every part with ``rank`` and ``score`` (dense, of the part as asked).
+    dense and keyword are (ask_id, key, score); passages are (key, title, text, source_url, fetched).
+    Each phrasing is fused, the phrasings of a part take turns, and passages that contradict the part
+    or are beyond their source's share give way to others."""
+    scan = fusion.POOL * fusion.SCAN
+    fused = exact_rank(fusion.fuse(dense, keyword, "ask_id", key), ["ask_id"], [F.col("fused").desc(), F.col(key).asc()], "pos")
+    orders = fused.where(F.col("pos") <= scan).join(asked.select("ask_id", "part_id", "variant"), "ask_id").select("part_id", key, "variant", "pos")
+    parts = asked.where("variant = 0").select("part_id", case_key, "part_no", "sub_question")
+    rows = fusion.interleave(orders, "part_id", key, scan).join(parts, "part_id").join(passages.withColumn("passage", F.concat_ws(". ", "title", "text")), key)
+    rows = rows.withColumn("contradicts", contradiction("sub_question", "passage"))
+    best = fusion.rerank(fusion.capped_pool(rows, "part_id", "source_url"), "part_id", None, k)
+    return best.join(dense.select(F.col("ask_id").alias("part_id"), key, "score"), ["part_id", key])
+
+
+def answered(asked: DataFrame, found: DataFrame, case_key: str) -> DataFrame:
+    """(case_key, answer, conflicts, blocks, chars, context): extractive answers of all parts with their
+    conflict notes, and the context, which starts with the best passages of the undivided question."""
+    parts = asked.where("variant = 0 and part_no >= 0").select("part_id", case_key, "part_no", "sub_question")
+    said = parts.join(found.where("rank = 1").select("part_id", "title", "text"), "part_id", "left").join(compose.conflict_flag(found, "part_id"), "part_id", "left")
+    conflicts = said.groupBy(case_key).agg(F.sum(F.coalesce("conflict", F.lit(False)).cast("int")).cast("int").alias("conflicts"))
+    given = found.where((F.col("part_no") >= 0) | (F.col("rank") <= WHOLE_PASSAGES)).withColumn("group_no", F.col("part_no") + 1)
+    context = compose.context(given, case_key).select(case_key, F.size("blocks").alias("blocks"), "chars", F.array_join("blocks", "\n\n").alias("context"))
+    return compose.extractive_answers(said, case_key).join(conflicts, case_key).join(context, case_key, "left")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions import attributes, html, questions, tables, text
 from .operators import chunking, compose, documents, feedback, fusion, lexical, ranking
-from .plans.retrieve import LexicalIndex, hybrid
+from .plans.retrieve import LexicalIndex, answered, asked_phrases, hybrid, retrieved
 from .sources import raw_files
+from .sources.shared import shared_table
 from .streaming import limiter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,6 +322,21 @@ def hybrid_retrieve(spark, d):
     return hybrid(_dense(spark, d), _keyword(spark, d), _items(spark, d), "query_id", "vec_id", "source", 12).select("query_id", "vec_id", "rank")
 
 
+@query
+def answered_questions(spark, d):
+    """The whole path over all check cases and documents: parts, phrasings, fusion, turns, filter, caps,
+    conflict notes, context and answers. There is no encoder, so hashed term vectors are the dense side."""
+    docs = _docs(spark, d).select("doc_id", "text", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "source_url", "fetched")))
+    asked = asked_phrases(table(spark, d, "check_cases"), "case_name", "question")
+    index = LexicalIndex(docs, "doc_id", "text")
+    terms = shared_table(index.weights, "weights")
+    phrases = shared_table(index.asked(asked, "ask_id", "phrase"), "phrases")
+    vectors = lexical.hashed_vectors(asked, phrases, "ask_id").select(F.col("ask_id").alias("doc_id"), "embedding")
+    dense = shared_table(ranking.vector_scores(lexical.hashed_vectors(docs, terms, "doc_id"), vectors, "doc_id", "embedding", "ask_id", None), "dense")
+    found = shared_table(retrieved(asked, dense, lexical.scores(terms, phrases, "doc_id", "ask_id"), docs, "case_name", "doc_id"), "found")
+    return answered(asked, found, "case_name").withColumn("context", F.md5("context")).withColumnRenamed("context", "context_md5")
+
+
 # --- evaluation ---------------------------------------------------------------------------------
 
 
@@ -477,5 +493,5 @@ def daily_events(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions answered from the documents: chunks of an index, search, and the extractive answer."""
-    return extractive_answers(spark, sf_dir)
+    """Questions answered from the documents by the whole path."""
+    return answered_questions(spark, sf_dir)
