@@ -69,6 +69,19 @@ def test_personal_info_by_co_occurrence(spark):
     assert clean["chunks.text", "p0"] == "Please tell [NAME] in the evening." and clean["chunks.text", "t1"] == texts[1]
 
 
+@pytest.mark.parametrize("bound", [300_000, 0])
+def test_rare_names_and_streets(spark, monkeypatch, bound):
+    monkeypatch.setattr(personal_info, "TERM_SHARE", 0.01)  # a floor of several occurrences, as in a large corpus
+    monkeypatch.setattr(personal_info, "BROADCAST_ROWS", bound)
+    rare = ["We met Dr. Quilla Vornak there.", *(f"House No. {i}, Old Brelk, Ostrow" for i in range(3)), "see 12 Old Brelk, Ostrow now"]
+    c = chunks(spark, [(f"t{i}", t) for i, t in enumerate(people() + ["Common Words Here"] * 99)] + [(f"r{i}", t) for i, t in enumerate(rare)])
+    none = spark.createDataFrame([], FEEDBACK)
+    found = {(i, k) for _, i, k in got(personal_info.personal_info(c, none))}
+    assert ("r0", "name") in found and ("r4", "address") in found and ("t0", "name") in found
+    clean = {i: t for _, i, t in got(personal_info.sanitise(c, none))}
+    assert clean["r0"] == "We met Dr. [NAME] there." and "Brelk" not in clean["r4"]
+
+
 # --- 2
 
 
