@@ -3,23 +3,25 @@
 Sizes are token counts of the limit's tokenizer. The global histogram of sizes has at most
 ``capacity`` entries a limit, whatever the number of documents, so it may go to the driver. There
 (1) dynamic programming chooses the bucket boundaries that minimise padding, the difference
-between each item and its bucket's upper bound; (2) token-budget batches are formed bucket by
-bucket, from the longest: a batch opens with the longest size left and is filled with the largest
-sizes that still fit, which are those of its own bucket as long as one fits, then shorter ones, so
-little room stays unused; a batch pattern is applied as often as the counts allow. Patterns are
-counts of sizes, not lists of documents. Documents meet their places by rank: the r-th item of a
-size goes to the r-th place of that size. Ranks are built from salted groups, so a size that a
-third of all documents share is spread over ``SALTS`` tasks.
+between each item and its bucket's upper bound; (2) token-budget batches form inside each bucket,
+from the longest bucket on: items of the bucket first take the room that batches of longer buckets
+left (tightest room first, so that few containers are opened), the others are put into new
+batches with items of their own bucket only, largest fit first, a batch pattern being applied as
+often as the counts allow. Patterns and rooms are counts of sizes and of containers, not lists of
+documents. Documents meet their places by rank: the r-th item of a size goes to the r-th place of
+that size. Ranks are built from salted groups whose number follows the number of documents, so a
+size that a third of all documents share is spread over tasks of about ROWS_PER_SALT rows.
 
 Defined results: a document larger than the capacity is cut into full parts and one rest, nothing
 else is cut; documents without tokens (empty or null) have part 0 of 0 tokens in container 0 of
 bucket 0; repeated doc_ids are packed once each (their largest size); a limit with a null or
-non-positive capacity, or without tokenizer, gives no rows.
+non-positive capacity, or without tokenizer, gives no rows. ``bucket`` is the item's own bucket.
 """
 
 from __future__ import annotations
 
 import os
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from .common import materialize
 from .tokenizer import TOKENIZER_DIR, token_counts
 
 BUCKETS = 12
-SALTS = 16
+#: Rows of one size that a task ranks, on average; at least SALTS groups.
+ROWS_PER_SALT, SALTS = 250_000, 16
 
 
 def choose_buckets(size: np.ndarray, count: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -70,37 +73,72 @@ def choose_buckets(size: np.ndarray, count: np.ndarray, buckets: int = BUCKETS)
     return sorted(set(bounds))
 
 
+def padding(size: np.ndarray, count: np.ndarray, bounds: list[int]) -> int:
+    """Tokens of padding if every item is filled up to its bucket's upper bound."""
+    top = np.array(bounds, np.int64)[np.searchsorted(bounds, size)]
+    return int(((top - size) * count).sum())
+
+
 def plan_batches(hist: dict[int, int], capacity: int, buckets: int = BUCKETS) -> tuple[list[tuple[int, int, int, int, int, int]], list[int]]:
     """Places (size, first rank, last rank + 1, first container, items of that size a container,
     bucket) and the bucket bounds. Containers of a pattern are numbered one after another."""
     sizes = np.array(sorted(s for s, n in hist.items() if s > 0 and n > 0), np.int64)
     count = np.array([hist[int(s)] for s in sizes], np.int64)
     bounds = choose_buckets(sizes, count, buckets)
-    left, used = count.copy(), np.zeros(len(sizes), np.int64)
-    places, box = [], 0
-    top = len(sizes) - 1
-    while top >= 0:
-        if left[top] == 0:
-            top -= 1
-            continue
-        room, pattern, i = capacity, [], top
-        while i >= 0 and room > 0:
-            i = min(i, int(np.searchsorted(sizes, room, "right")) - 1)
-            while i >= 0 and left[i] == 0:
+    left, used = count.tolist(), [0] * len(sizes)
+    size = sizes.tolist()
+    places: list[tuple[int, int, int, int, int, int]] = []
+    rooms: list[tuple[int, int, int]] = []  # (room, first container, containers), sorted
+    box = 0
+    shortest = size[0] if size else 0
+
+    def keep(room: int, first: int, n: int) -> None:
+        if n and room >= shortest:
+            insort(rooms, (room, first, n))
+
+    def put(i: int, first: int, n: int, each: int, bucket: int) -> None:
+        places.append((size[i], used[i], used[i] + n, first, each, bucket))
+        used[i] += n
+        left[i] -= n
+
+    lows = [0, *bounds]
+    for bucket in range(len(bounds), 0, -1):
+        low = int(np.searchsorted(sizes, lows[bucket - 1], "right"))
+        high = int(np.searchsorted(sizes, bounds[bucket - 1], "right")) - 1
+        for i in range(high, low - 1, -1):  # room that longer buckets left
+            while left[i] and (at := bisect_left(rooms, (size[i], -1, -1))) < len(rooms):
+                room, first, n = rooms.pop(at)
+                each = min(room // size[i], left[i])
+                full = min(n, left[i] // each)
+                put(i, first, full * each, each, bucket)
+                keep(room - each * size[i], first, full)
+                if full < n and 0 < left[i] < each:  # one container takes what is left
+                    rest = left[i]
+                    put(i, first + full, rest, rest, bucket)
+                    keep(room - rest * size[i], first + full, 1)
+                    full += 1
+                keep(room, first + full, n - full)
+        top = high
+        while top >= low:
+            if left[top] == 0:
+                top -= 1
+                continue
+            room, pattern, i = capacity, [], top
+            while i >= low and room > 0:
+                i = min(i, int(np.searchsorted(sizes, room, "right")) - 1)
+                while i >= low and left[i] == 0:
+                    i -= 1
+                if i < low:
+                    break
+                k = min(left[i], room // size[i])
+                pattern.append((i, k))
+                room -= k * size[i]
                 i -= 1
-            if i < 0:
-                break
-            k = min(int(left[i]), room // int(sizes[i]))
-            pattern.append((i, k))
-            room -= k * int(sizes[i])
-            i -= 1
-        times = min(int(left[i]) // k for i, k in pattern)
-        bucket = int(np.searchsorted(bounds, sizes[top])) + 1
-        for i, k in pattern:
-            places.append((int(sizes[i]), int(used[i]), int(used[i]) + times * k, box, k, bucket))
-            used[i] += times * k
-            left[i] -= times * k
-        box += times
+            times = min(left[i] // k for i, k in pattern)
+            for i, k in pattern:
+                put(i, box, times * k, k, bucket)
+            keep(room, box, times)
+            box += times
     return places, bounds
 
 
@@ -153,7 +191,8 @@ def pack_documents(documents: DataFrame, limits: DataFrame, directory: str | Non
     for r in rules:
         one = item_parts(sizes[r.tokenizer], r.limit_id, r.capacity_tokens)
         items = one if items is None else items.unionByName(one)
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-documents.count() // ROWS_PER_SALT))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("limit_id", "tokens", "salt").agg(F.count("*").alias("n"))
     grid = counts.select("limit_id", "tokens", "salt", (F.sum("n").over(Window.partitionBy("limit_id", "tokens").orderBy("salt")) - F.col("n")).alias("before"), "n")
     grid = materialize(grid, "ranks")

@@ -42,6 +42,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "chunks"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.copy_groups(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_noise.scan_noise(table(spark, sf_dir, "chunks"))
 
@@ -62,6 +66,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode_with_offsets(table(spark, sf_dir, "documents"))
+
+
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_limits"))
 
@@ -75,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p1_sanitised": p1_sanitised,
         "p2_found": p2_found,
+        "p2_groups": p2_groups,
         "p3_found": p3_found,
         "p3_bodies": p3_bodies,
         "p4_found": p4_found,
@@ -85,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_restored": p7_restored,
         "p8_ids": p8_ids,
+        "p8_offsets": p8_offsets,
         "p9_packed": p9_packed,
         "p10_found": p10_found,
     }

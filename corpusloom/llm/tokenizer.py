@@ -1,18 +1,22 @@
 """Problem 8: encoding the corpus with a public byte-level BPE vocabulary.
 
 Pre-tokenisation runs over whole batches without regex. The texts of a batch become one array of
-code points; a table maps each to a class (letter, number, white space, other). Where a run of
-one class begins is an associative scan (running maximum over run starts), so every boundary rule
-becomes array algebra over a position's neighbours and its run's bounds:
+code points; a table maps each to a class (letter, number, white space, other). Most boundaries
+follow from a character's neighbours:
 
 * a run of letters, numbers or others is one piece, with a single space before it if there is one;
 * white space before a visible character gives up its last character: a space joins the piece
-  that follows, anything else stands alone;
-* an apostrophe that opens a run of others, has no space before it and is followed by s, t, m, d,
-  re, ve or ll forms a contraction.
+  that follows, anything else stands alone.
+
+Contractions (an apostrophe that opens a piece and is followed by s, t, m, d, re, ve or ll) depend on
+where the piece before ended, which may itself be a contraction. They are located by an automaton of
+four states. Every character is a transition function from state to state, coded as one byte (two
+bits a state); composing functions is associative, so the state before every character comes from a
+blocked prefix scan over the bytes with one table of compositions.
 
 The slices feed a cached pair merging; piece ids index a flat table of token ids, so the ids of a
-batch are one gather. The offsets of the pieces are kept beside the ids for decoding.
+batch are one gather. ``encode_with_offsets`` keeps the offsets of the pieces beside the ids, and
+``decode_slice`` uses them to get any stretch of a text back from its tokens.
 
 Defined results: empty and null texts give an empty list; text that looks like a control token is
 ordinary text; texts of any length are encoded whole.
@@ -51,6 +55,52 @@ def class_table() -> np.ndarray:
     return t
 
 
+# States of the automaton before a character: a piece may go on, or a contraction has one or two more
+# characters, or a contraction has just ended. A transition function is a byte, two bits a state.
+GOES_ON, ONE_MORE, TWO_MORE, ENDED = range(4)
+_WIDTH = 128
+
+
+def _function(to: tuple[int, int, int, int]) -> int:
+    return sum(v << 2 * k for k, v in enumerate(to))
+
+
+_PLAIN = _function((GOES_ON, ENDED, ONE_MORE, GOES_ON))
+
+
+@lru_cache(1)
+def _composed() -> np.ndarray:
+    """then[f, g]: the function that applies f, then g."""
+    f, g = np.meshgrid(np.arange(256), np.arange(256), indexing="ij")
+    out = np.zeros((256, 256), np.int64)
+    for k in range(4):
+        out |= (g >> 2 * (f >> 2 * k & 3) & 3) << 2 * k
+    return out.astype(np.uint8).ravel()
+
+
+def scan_states(f: np.ndarray) -> np.ndarray:
+    """State before every character, from GOES_ON: an exclusive prefix scan of transition functions.
+    Blocks are scanned side by side, then the blocks' own functions, then both are put together."""
+    then, n = _composed(), len(f)
+    rows = -(-n // _WIDTH)
+    cells = np.full(rows * _WIDTH, _function((0, 1, 2, 3)), np.uint8)
+    cells[:n] = f
+    cells = cells.reshape(rows, _WIDTH)
+    before = np.empty((rows, _WIDTH), np.uint8)
+    acc = np.full(rows, _function((0, 1, 2, 3)), np.uint8)
+    for j in range(_WIDTH):
+        before[:, j] = acc
+        acc = then[acc.astype(np.int32) << 8 | cells[:, j]]
+    if rows > _WIDTH:
+        enter = scan_states(acc)
+    else:
+        enter, state = np.zeros(rows, np.uint8), GOES_ON
+        for r in range(rows):
+            enter[r] = state
+            state = int(acc[r]) >> 2 * state & 3
+    return (before >> 2 * enter[:, None] & 3).ravel()[:n]
+
+
 def piece_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Start positions of the pieces of all texts. cp: code points of the texts one after another;
     first: start positions of the texts that aren't empty."""
@@ -65,34 +115,34 @@ def piece_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     run[1:] |= k[1:] != k[:-1]
     start = run.copy()
     white = k == SPACE
-    blank = cp == 32
     # last white character before a visible one of the same text
     gives = np.zeros(n, bool)
     gives[:-1] = white[:-1] & ~white[1:] & ~edge[1:n]
     start |= gives  # it leaves its run
-    joins = gives & blank
-    follow = np.flatnonzero(joins) + 1
-    start[follow] = False  # the piece begins with the space
-    # contractions
-    quote = np.flatnonzero((cp == 39) & run & start)
+    joins = gives & (cp == 32)
+    start[np.flatnonzero(joins) + 1] = False  # the piece begins with the space
+    quote = np.flatnonzero(cp == 39)
     if len(quote):
-        nxt = np.full((2, len(quote)), 0, np.int64)
+        ahead = np.zeros((2, len(quote)), np.int64)
         for j in (1, 2):
             at = quote + j
             ok = at < n
             ok[ok] &= ~edge[at[ok]]
             if j == 2:
-                ok &= nxt[0] > 0
-            nxt[j - 1][ok] = cp[at[ok]]
-        one = np.isin(nxt[0], [ord(c) for c in "stmd"])
-        two = np.zeros(len(quote), bool)
+                ok &= ahead[0] > 0
+            ahead[j - 1][ok] = cp[at[ok]]
+        size = np.where(np.isin(ahead[0], [ord(c) for c in "stmd"]), ONE_MORE, GOES_ON)
         for a, b in ("re", "ve", "ll"):
-            two |= (nxt[0] == ord(a)) & (nxt[1] == ord(b))
-        for q, size in ((quote[one], 2), (quote[two & ~one], 3)):
-            start[q + 1] = False
-            after = q + size
-            after = after[after < n]
-            start[after] |= ~(joins[after - 1])
+            size[(ahead[0] == ord(a)) & (ahead[1] == ord(b))] = TWO_MORE
+        if size.any():
+            f = np.full(n, _PLAIN, np.uint8)
+            f[quote] = [_function((s if go else GOES_ON, ENDED, ONE_MORE, s)) for s, go in zip(size.tolist(), start[quote].tolist())]
+            fresh = edge[:n]
+            f[fresh] = [(x & 3) * 0b01010101 for x in f[fresh].tolist()]  # a text begins anew
+            state = scan_states(f)
+            state[fresh] = GOES_ON
+            start |= state == ENDED
+            start[(state == ONE_MORE) | (state == TWO_MORE)] = False
     return np.flatnonzero(start)
 
 
@@ -315,8 +365,13 @@ def count_batch(texts: list[str | None], path: str) -> np.ndarray:
     return total[1:] - total[:-1]
 
 
+@lru_cache(4)
+def _tokens(path: str) -> dict[int, bytes]:
+    return {v: k for k, v in merger(path).ranks.items()}
+
+
 def decode(ids, path: str) -> str:
-    back = {v: k for k, v in merger(path).ranks.items()}
+    back = _tokens(path)
     return b"".join(back[i] for i in ids).decode("utf-8", "replace")
 
 
@@ -351,6 +406,45 @@ def encode(documents: DataFrame, name: str = "byte_bpe_50k", directory: str | No
     return documents.select("doc_id", "text").mapInArrow(_encoder(path), "doc_id bigint, ids array<int>")
 
 
+def _encoder_with_offsets(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _split(whole, "text"):
+                texts = b.column("text").to_pylist()
+                m = merger(path)
+                m.trim()
+                cp, starts, ends, before = cut(texts)
+                row, own = m.rows(cp, starts, ends)
+                each = m.size[row]
+                for i, ids in own.items():
+                    each[i] = len(ids)
+                begin = np.repeat(np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])[:-1], np.diff(before))
+                total = np.cumsum(each) if len(each) else np.zeros(0, np.int64)
+                base = np.repeat(np.concatenate([[0], total])[before][:-1], np.diff(before))
+                ids, stops, _ = encode_batch(texts, path)
+                lists = lambda v, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists(ids, stops), lists(ends - begin, before), lists(total - base, before)], ["doc_id", "ids", "piece_ends", "piece_ids"])
+
+    return run
+
+
+def encode_with_offsets(documents: DataFrame, name: str = "byte_bpe_50k", directory: str | None = None) -> DataFrame:
+    """(doc_id, ids, piece_ends, piece_ids): beside the ids, where every piece ends in characters of
+    the text and in ids."""
+    path = os.path.join(directory or TOKENIZER_DIR, f"{name}.tiktoken")
+    return documents.select("doc_id", "text").mapInArrow(_encoder_with_offsets(path), "doc_id bigint, ids array<int>, piece_ends array<int>, piece_ids array<int>")
+
+
+def decode_slice(ids: list[int], piece_ends: list[int], piece_ids: list[int], begin: int, end: int, path: str) -> str:
+    """Characters begin..end of a text from its tokens; only the pieces they touch are decoded."""
+    if end <= begin or not piece_ends:
+        return ""
+    a = int(np.searchsorted(piece_ends, begin, "right"))
+    b = min(int(np.searchsorted(piece_ends, end, "left")), len(piece_ends) - 1)
+    char, first = (piece_ends[a - 1], piece_ids[a - 1]) if a else (0, 0)
+    return decode(ids[first : piece_ids[b]], path)[begin - char : end - char]
+
+
 def _sizer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

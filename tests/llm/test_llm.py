@@ -125,7 +125,37 @@ def test_large_classes_of_copies_stay_linear(spark):
     assert len(pairs) == len(rows) - 1 and ("c000", "d") in pairs and all(a == "c000" for a, _ in pairs)
 
 
-def test_long_runs_of_one_anchor_go_to_a_join(spark, monkeypatch):
+def test_code_words_and_their_radius():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n, k in ((5, 4), (6, 4)):
+        w = rnd.integers(0, 1 << 16, (50, n)).astype(np.uint64)
+        near = list(near_copies.anchors_of(w, k))
+        assert all(((a != w).sum(1) <= n - k).all() for a in near)
+        for a in near:  # a code word gives itself back, whichever symbols are computed
+            assert all((b == a).all() for b in near_copies.anchors_of(a, k))
+        v = w.copy()
+        v[:, 1] ^= np.uint64(7)  # one symbol off: some code word is near both
+        assert all(any((x[i] == y[i]).all() for x in near for y in near_copies.anchors_of(v, k)) for i in range(len(w)))
+
+
+def test_groups_of_near_copies(spark):
+    rnd = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    chain = [" ".join(base[k * 12 :] + [f"x{i}" for i in range(k * 12)]) for k in range(8)]  # neighbours are near, ends aren't
+    rows = [(f"c{k}", t) for k, t in enumerate(chain)] + [("c00", chain[0]), ("z", edited(rnd, [f"y{i}" for i in range(50)], 1)), ("n", None), (None, chain[0])]
+    found = {r.id: r for r in near_copies.copy_groups(chunks(spark, rows + rows[:2])).collect()}
+    pairs = brute_pairs([(i, t, None) for i, t in rows], 0.6)
+    root = {i: i for i in found}
+    for _ in found:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {i: r.group_id for i, r in found.items()} == root and found["c00"].class_id == "c0" and len(found) == 10
+    assert near_copies.copy_groups(chunks(spark, [])).collect() == []
+
+
+def test_long_runs_of_one_anchor_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "RUN", 3)
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(120)]
@@ -285,6 +315,25 @@ def test_tokenizer_equals_the_public_one(spark):
     assert all(tokenizer.decode(ids[i], path) == x for i, x in enumerate(texts[:300]))
     assert {r.doc_id: r.tokens for r in tokenizer.token_counts(df).collect()} == {i: len(v) for i, v in ids.items()}
     assert tokenizer.encode(df.limit(0)).collect() == []
+    for r in tokenizer.encode_with_offsets(df).collect():
+        assert r.ids == ids[r.doc_id] and (r.piece_ends[-1:] or [0])[0] == len(texts[r.doc_id] if r.doc_id >= 0 else "")
+        if 0 <= r.doc_id < 300:
+            x = texts[r.doc_id]
+            a, b = sorted(rnd.randrange(len(x) + 1) for _ in range(2))
+            assert tokenizer.decode_slice(r.ids, r.piece_ends, r.piece_ids, a, b, path) == x[a:b]
+
+
+def test_scan_of_transition_functions():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for n in (1, 127, 128, 129, 40_000):
+        f = rnd.integers(0, 256, n).astype(np.uint8)
+        state, want = 0, []
+        for x in f.tolist():
+            want.append(state)
+            state = x >> 2 * state & 3
+        assert tokenizer.scan_states(f).tolist() == want
 
 
 def test_equal_hashes_of_different_pieces_do_no_harm(monkeypatch):
@@ -318,6 +367,20 @@ def test_bucket_bounds_are_optimal():
         assert cost(packing.choose_buckets(size, count, 3)) == best
 
 
+def test_bucket_bounds_decide_the_batches():
+    rnd = random.Random(4)
+    hist = Counter(min(rnd.randrange(1, 512), rnd.randrange(1, 512)) for _ in range(3000))
+    one, many = (packing.plan_batches(dict(hist), 512, k) for k in (1, 4))
+    assert one[0] != many[0] and len(one[1]) == 1 and len(many[1]) == 4
+    load = Counter()
+    for places in (one[0], many[0]):
+        load.clear()
+        for s, lo, hi, box, k, _ in places:
+            for q in range((hi - lo) // k):
+                load[box + q] += s * k
+        assert max(load.values()) <= 512 and len(load) <= 1.02 * sum(s * n for s, n in hist.items()) / 512 + 1
+
+
 def test_packing_splits_nothing_and_wastes_little(spark):
     rnd = random.Random(6)
     rows = [(i, " ".join(["word"] * rnd.choice([3, 40, 40, 40, 300, 511, 900]))) for i in range(400)] + [(900, None), (901, ""), (5, "word " * 3)]
