@@ -1,115 +1,170 @@
 """Problem 10: keyword-stuffed pages, link lists and product tags.
 
-A document is read as the sequence of its words. Two views are taken, both in arrays over whole
-batches:
-
-* recurrence: the gap between a content word and its previous occurrence. Prose repeats its
-  function words at all distances and its content words rarely; stuffed text repeats content
-  words within a few words, and again and again at the same lags. ``recur`` is the share of
-  content words whose last occurrence lies inside the lag window, ``lag`` the strongest positional
-  autocorrelation over the lags of the window.
-* sentences: the share of the words that stand in sentences, segments that open and close like a
-  sentence, hold function words at the rate of prose, and don't come again in the document. Lists
-  of many different nouns have no function words and so no sentences.
-
-A document is spam when its bulk lies outside sentences and either recurs unnaturally or is a long
-list without function words; rows of honest tables, list items with an amount and questions with
-their answers count with the sentences around them.
+A document is read as the sequence of its words (pairs of characters in scripts without spaces):
+
+* recurrence gaps: the distance of a content word to its previous occurrence. Prose repeats content
+  words rarely; stuffed text repeats them within a few words. ``recur`` is the share of content
+  words whose previous occurrence lies inside the lag window, ``every`` the same over all words;
+* positional autocorrelation: ``lag`` is the largest share of content words that recur at one and
+  the same lag of the window: repetition that is unnaturally regular;
+* lists of many different nouns have hardly any function words. Which words are function words is
+  learned from the corpus, per language as the documents name it: words in at least DF_SHARE of a
+  language's documents that stand in lower case and hardly ever right before a mark.
+
+A document is a candidate when it recurs beyond prose (RECUR, EVERY, LAG), when links and tags make
+up LINKS of it, or when it has few function words and recurs moderately (FEW, SOME). A check
+follows: honest tables, lists and question pages recur too, but their words stand in sentences,
+segments that open and close like one, hold function words at the rate of prose and don't come
+again and again. In a language of which the corpus shows too little to learn function words from, any closed
+segment counts as a sentence, so its prose isn't taken for a list.
 
 Defined results: null, empty and blank texts, and texts of fewer than MIN_WORDS words, are not
-spam; repeated doc_ids come out once; null doc_ids are left out.
+spam; repeated doc_ids come out once; null doc_ids are left out; a null or
+missing lang is a language of its own. Languages of fewer than MIN_DOCS documents teach no function words.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-# Function words of the corpus's languages.
-FUNCTION_WORDS = frozenset(
-    "a an the of to and or is are was were be been by on in at for from with as that this these those which who it its not no has have had will may must can if after before until when than every each"
-    " le la les l un une des du de d et ou est sont à au aux en dans pour par sur avec qui que se ce cette lors dès jusqu sans plus"
-    " der die das den dem des ein eine und oder ist sind im in am an auf für mit von zu zum zur bis bei nach wer liegt alles aus sich"
-    " का की के को में से और है हैं पर तक ने हो होगा होगी जो यह वे भी नहीं लिए बजे".split()
-)
+MIN_WORDS, LAGS = 20, 48
+RECUR, EVERY, LAG, LINKS = 0.4, 0.6, 0.3, 0.12
+FEW, SOME = 0.33, 0.18
+STRONG_SENTENCES, SENTENCES = 0.6, 0.38
+DF_SHARE, FINAL_SHARE, LOWER_SHARE, MIN_DOCS = 0.35, 0.1, 0.4, 50
+UNKNOWN = 0.1
 
-MIN_WORDS = 20
-LAGS = 48
-
-_SENTENCE_END = re.compile("(?<=[.!?।…])[ \u00a0]+")
-_STRIP = ".,;:!?()[]{}\"'“”‘’«»।…|"
+_SENTENCE_END = re.compile("(?<=[.!?।…])[  ]+|(?<=[。！？])")
+_MARKS = ".,;:!?()[]{}\"'“”‘’«»।…|。，！？、"
 _DIGITS = {ord(c): None for c in "0123456789"}
-_CLOSES = frozenset(".!?।…”\"):;»")
+_CLOSES = frozenset(".!?।…”\"):;»。！？")
+_DENSE = re.compile("[฀-໿ក-៿぀-ヿ㐀-䶿一-鿿]{2,}")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _spread(m: re.Match) -> str:
+    s = m.group()
+    return " ".join([""] + [s[i : i + 2] for i in range(len(s) - 1)] + [""])
 
 
-def features(text: str) -> tuple[int, float, float, float, float, float, float]:
-    """(words, function rate, recur, lag, sentence share, link rate, distinct rate)."""
+def features(text: str, function_words: frozenset[str]) -> dict[str, float] | None:
+    """The measures of the module's note; None for texts of fewer than MIN_WORDS words."""
+    low = text.lower()
+    if not low.isascii() and _DENSE.search(low):
+        low = _DENSE.sub(_spread, low)
+    segments: list[tuple[str, list[str], bool]] = []
     words: list[str] = []
-    in_sentences = links = 0
-    seen: set[str] = set()
-    for line in text.lower().split("\n"):
-        table_row = line.count("|") > 1
+    links = 0
+    for line in low.split("\n"):
+        row = line.count("|") > 1
         for s in _SENTENCE_END.split(line):
             w = s.split()
-            n = len(w)
-            if not n:
-                continue
-            words += w
-            linked = 0
-            if "#" in s or ":" in s or "www." in s:
-                linked = s.count("://") + s.count("#") + s.count("tag:")
-                links += linked
-            if n < 5 or table_row:
-                continue
-            key = s.translate(_DIGITS)
-            if key in seen:
-                continue
-            seen.add(key)
-            rate = sum(map(FUNCTION_WORDS.__contains__, w)) / n
-            if 0.1 <= rate <= 0.65 and linked <= max(1, n // 12) and len(set(w)) > 0.6 * n and s.rstrip()[-1] in _CLOSES:
-                in_sentences += n
+            if w:
+                words += w
+                segments.append((s, w, row))
     n = len(words)
     if n < MIN_WORDS:
-        return (n, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0)
+        return None
     code: dict[str, int] = {}
-    c = np.fromiter((code.setdefault(w.strip(_STRIP), len(code)) for w in words), np.int32, n)
-    fun = np.fromiter(map(FUNCTION_WORDS.__contains__, code), bool, len(code))
+    c = np.fromiter((code.setdefault(w.strip(_MARKS), len(code)) for w in words), np.int32, n)
+    fun = np.fromiter(map(function_words.__contains__, code), bool, len(code))
     content = ~fun[c]
     total = max(1, int(content.sum()))
     order = np.argsort(c, kind="stable")
     gap = np.diff(order)
-    hit = (c[order][1:] == c[order][:-1]) & (gap <= LAGS) & content[order[1:]]
-    by_lag = np.bincount(gap[hit], minlength=LAGS + 1)
-    return (n, 1 - total / n, float(by_lag.sum()) / total, float(by_lag.max()) / total, in_sentences / n, links / n, len(code) / n)
+    near = (c[order][1:] == c[order][:-1]) & (gap <= LAGS)
+    by_lag = np.bincount(gap[near & content[order[1:]]], minlength=LAGS + 1)
+    function = 1 - total / n
+    known = function >= UNKNOWN
+    inside = 0
+    seen: Counter = Counter()
+    for s, w, row in segments:
+        k = len(w)
+        linked = s.count("://") + s.count("#") + s.count("tag:") if "#" in s or ":" in s else 0
+        links += linked
+        if k < 5 or row or linked > max(1, k // 12) or s.rstrip()[-1] not in _CLOSES or len(set(w)) <= 0.6 * k:
+            continue
+        key = s.translate(_DIGITS)
+        seen[key] += 1
+        if seen[key] > 2:
+            continue
+        rate = sum(map(function_words.__contains__, w)) / k
+        if 0.08 <= rate <= 0.8 or not known and (k >= 6 or rate > 0):
+            inside += k
+    return {
+        "words": n, "function": function, "recur": float(by_lag.sum()) / total, "lag": float(by_lag.max()) / total,
+        "every": float(near.sum()) / n, "links": links / n, "sentences": inside / n,
+    }
+
+
+def is_spam(text: str | None, function_words: frozenset[str]) -> bool:
+    f = features(text, function_words) if text else None
+    if f is None:
+        return False
+    if f["recur"] >= RECUR and f["function"] >= UNKNOWN or f["every"] >= EVERY or f["lag"] >= LAG or f["links"] >= LINKS:
+        return f["sentences"] < STRONG_SENTENCES
+    return f["function"] < FEW and f["recur"] >= SOME and f["sentences"] < SENTENCES
 
 
-def is_spam(text: str | None) -> bool:
-    """Bulk of links or tags; or words that recur far more than in prose; or hardly a sentence, and
-    recurrence, lags or missing function words beside it. Honest tables have a lag too (their
-    columns), but half their words stand in sentences or their recurrence stays low."""
-    if not text:
-        return False
-    n, function, recur, lag, sentences, links, _ = features(text)
-    if n < MIN_WORDS:
-        return False
-    if sentences < 0.3:
-        return recur >= 0.3 or lag >= 0.1 or function < 0.22 or links >= 0.12
-    return (links >= 0.12 and sentences < 0.6) or (recur >= 0.45 and sentences < 0.5)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, docs): documents of a language that hold a word as written; '' counts them all."""
+    seen: dict[str, Counter] = {}
+    held = 0
 
+    def out() -> pa.RecordBatch:
+        rows = [(l, w, n) for l, c in seen.items() for w, n in c.items()]
+        cols = list(zip(*rows)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "docs"])
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            part = b.slice(lo, 256)
-            spam = [is_spam(t) for t in part.column("text").to_pylist()]
-            yield part.select(["doc_id"]).filter(pa.array(spam, pa.bool_()))
+        for l, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+            c = seen.setdefault(l, Counter())
+            before = len(c)
+            c.update(set(t.split()))
+            c[""] += 1
+            held += len(c) - before
+            if held > 300_000:
+                yield out()
+                seen, held = {}, 0
+    yield out()
+
+
+def function_words(documents: DataFrame) -> frozenset[str]:
+    """Learned over all documents. What comes to the driver is bounded by the languages and the mean
+    number of different words a document, divided by DF_SHARE."""
+    src = documents.where("text is not null").select((F.lower(F.trim(F.coalesce("lang", F.lit("")))) if "lang" in documents.columns else F.lit("")).alias("lang"), "text")
+    rows = src.mapInArrow(_count, "lang string, word string, docs bigint").groupBy("lang", "word").agg(F.sum("docs").alias("docs"))
+    marks = F.lit(_MARKS)
+    bare = F.btrim("word", marks)
+    rows = rows.select(
+        "lang", F.lower(bare).alias("word"), "docs", F.when((F.col("word") == bare) & (bare == F.lower(bare)), F.col("docs")).otherwise(0).alias("plain"),
+        F.when(bare == F.lower(bare), F.col("docs")).otherwise(0).alias("lower"), F.when(F.col("word") != F.rtrim("word", marks), F.col("docs")).otherwise(0).alias("final"),
+        F.when(F.col("word") == "", F.col("docs")).alias("all"),
+    )
+    words = rows.groupBy("lang", "word").agg(*(F.sum(c).alias(c) for c in ("docs", "plain", "lower", "final", "all")))
+    size = words.where("all is not null").select("lang", F.col("all").alias("size")).where(F.col("size") >= MIN_DOCS)
+    kept = words.where("word <> ''").join(F.broadcast(size), "lang")  # one row a language
+    kept = kept.where((F.col("plain") >= DF_SHARE * F.col("size")) & (F.col("lower") >= LOWER_SHARE * F.col("docs")) & (F.col("final") <= FINAL_SHARE * F.col("docs")))
+    return frozenset(r.word for r in kept.select("word").distinct().collect() if _LETTER.search(r.word))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id) of the documents that are spam. One narrow pass; only ids of spam are shuffled."""
+    """(doc_id) of the documents that are spam. Two narrow passes; word counts and ids are shuffled."""
+    known = function_words(documents)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                spam = [is_spam(t, known) for t in part.column("text").to_pylist()]
+                yield part.select(["doc_id"]).filter(pa.array(spam, pa.bool_()))
+
     src = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return src.mapInArrow(_judge, "doc_id bigint").distinct()
+    return src.mapInArrow(judge, "doc_id bigint").distinct()

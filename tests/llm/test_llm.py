@@ -418,6 +418,32 @@ def test_stuffed_pages(spark):
     assert got(stuffing.stuffed_pages(df)) == [(i,) for i in range(len(spam))]
 
 
+UNSEEN = (
+    "Студенты первого курса сдают документы в учебную часть до пятницы. Общежитие открывается за два дня до начала занятий, и каждый получает ключ у дежурного. "
+    "Библиотека работает по субботам, кроме праздников. Тот, кто потерял билет, пишет заявление и платит за новый.",
+    "Los alumnos de primer curso entregan sus papeles en la oficina antes del viernes. La residencia abre dos días antes de las clases y cada uno recibe su llave. "
+    "La biblioteca abre los sábados salvo en fiestas. Quien pierda el carné escribe una solicitud y paga otro.",
+    "一年级学生必须在星期五之前把材料交到办公室。宿舍在开课前两天开放,每个人在门口领取钥匙。图书馆星期六照常开门,节日除外。丢失证件的人要写申请,并且支付补办的费用。",
+    "Studenci pierwszego roku składają dokumenty w dziekanacie do piątku. Dom studencki otwiera się dwa dni przed zajęciami i każdy dostaje klucz od portiera. Biblioteka pracuje w soboty oprócz świąt.",
+)
+
+
+def test_prose_of_unseen_languages_is_no_spam(spark, monkeypatch):
+    known = stuffing.function_words(common.table(spark, "/root/testdata/sf0.01", "documents"))
+    assert {"the", "of"} <= known and not {"certificate", "метро"} & known
+    assert not any(stuffing.is_spam(t, k) for t in UNSEEN for k in (known, frozenset()))
+    assert stuffing.is_spam("买手机 便宜手机 手机价格 " * 30, known) and stuffing.is_spam("дешёвый насос купить насос " * 30, known)
+
+
+def test_recurrence_decides_about_stuffing(spark, monkeypatch):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    with_it = stuffing.stuffed_pages(docs).count()
+    known, real = stuffing.function_words(docs), stuffing.features
+    monkeypatch.setattr(stuffing, "features", lambda t, k: (f := real(t, k)) and {**f, "recur": 0.0, "every": 0.0, "lag": 0.0})
+    texts = [r.text for r in docs.where("text is not null").select("text").collect()]
+    assert sum(stuffing.is_spam(t, known) for t in texts) < 0.5 * with_it
+
+
 def test_labels_agree(spark, sf):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     labels = {r.doc_id: r.label for r in common.table(spark, "/root/testdata/sf0.01", "page_labels").collect()}
