@@ -15,7 +15,7 @@ A document is a candidate when it recurs beyond prose (RECUR, EVERY, LAG), when
 up LINKS of it, or when it has few function words and recurs moderately (FEW, SOME). A check
 follows: honest tables, lists and question pages recur too, but their words stand in sentences,
 segments that open and close like one, hold function words at the rate of prose and don't come
-again and again. In a language of which the corpus shows too little to learn function words from, any closed
+again. In a language of which the corpus shows too little to learn function words from, any closed
 segment counts as a sentence, so its prose isn't taken for a list.
 
 Defined results: null, empty and blank texts, and texts of fewer than MIN_WORDS words, are not
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 MIN_WORDS, LAGS = 20, 48
 RECUR, EVERY, LAG, LINKS = 0.4, 0.6, 0.3, 0.12
 FEW, SOME = 0.33, 0.18
-STRONG_SENTENCES, SENTENCES = 0.6, 0.38
+STRONG_SENTENCES, SENTENCES = 0.5, 0.38
 DF_SHARE, FINAL_SHARE, LOWER_SHARE, MIN_DOCS = 0.35, 0.1, 0.4, 50
 UNKNOWN = 0.1
 
@@ -93,7 +93,7 @@ def features(text: str, function_words: frozenset[str]) -> dict[str, float] | No
             continue
         key = s.translate(_DIGITS)
         seen[key] += 1
-        if seen[key] > 2:
+        if seen[key] > 1:
             continue
         rate = sum(map(function_words.__contains__, w)) / k
         if 0.08 <= rate <= 0.8 or not known and (k >= 6 or rate > 0):
