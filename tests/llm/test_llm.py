@@ -296,6 +296,32 @@ def test_wrong_encodings(spark):
     assert out["lost", "text"] == ("caf� x", False)
 
 
+RUSSIAN = (
+    "Студенты первого курса сдают документы в учебную часть до пятницы", "Общежитие открывается за два дня до начала занятий и каждый получает ключ",
+    "Библиотека работает по субботам кроме праздников", "Тот кто потерял билет пишет заявление и платит за новый", "Обмен студентами по теме и в срок", "Директор института и декан факультета в Москве",
+)
+GERMAN = ("für die Größe müssen Öffnungszeiten geändert werden", "Übungen für Anfänger täglich möglich", "die Prüfung läuft über fünf Tage", "Schüler können später zurückkehren", "natürlich hört man ähnliche Gründe")
+
+
+def shown(text, written, page):
+    return "".join(bytes([c]).decode(page, "replace") for c in text.encode(written))
+
+
+def test_code_pages_are_learned_by_source(spark):
+    rows = [(f"s{k}{i}", t, f"http://h{k % 5}.example/") for i, t in enumerate(RUSSIAN + GERMAN + ("Le café près de l’entrée – là", "España año niño", "un été très chaud à Nîmes")) for k in range(15)]
+    rows += [(f"r{i}", shown(t, "cp1251", "latin-1"), "http://ru.example/") for i, t in enumerate(RUSSIAN * 2)]
+    rows += [(f"g{i}", shown(t, "cp1252", "cp437"), "http://de.example/") for i, t in enumerate(GERMAN * 2)]
+    c = chunks(spark, rows + rows[:2])
+    want = {f"r{i}": t for i, t in enumerate(RUSSIAN * 2)} | {f"g{i}": t for i, t in enumerate(GERMAN * 2)}
+    fixed = {i: t for i, f, t, _ in got(mojibake.restored_fields(c))}
+    assert set(fixed) == set(want)
+    assert sum(fixed[i] == t for i, t in want.items()) >= 0.9 * len(want)
+    without = {i: t for i, f, t, _ in got(mojibake.restored_fields(c, rounds=0))}
+    assert not set(without) & set(want)  # nothing is learned, so nothing is read
+    once = {i: t for i, f, t, _ in got(mojibake.restored_fields(c, rounds=1))}
+    assert sum(once.get(i) == t for i, t in want.items()) <= sum(fixed[i] == t for i, t in want.items())
+
+
 # --- 8
 
 
