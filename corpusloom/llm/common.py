@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ from ..sources.shared import shared_table as materialize  # noqa: F401
 NARROW_SPACE = " \t\r\n\u00a0"
 
 
+#: A table of at most so many rows is broadcast to look things up; a larger one is joined.
+LOOKUP_ROWS = 300_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,3 +48,48 @@ def narrow_words(s: str) -> list[str]:
     if ODD_SPACE.search(s):
         return [w for w in RUNS.split(s) if w]
     return s.split()
+
+
+def once(rows: DataFrame, value: str, key: str = "id") -> DataFrame:
+    """rows (key, value, ...) with every key once, the smallest value of repeated keys (nulls last).
+    Keys that come once, nearly all, stay where they are: only keys and counts are shuffled to find
+    the repeated ones, and of rows only those with a repeated key."""
+    often = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
+    few = often.count()
+    if not few:
+        return rows
+    side = F.broadcast(often) if few <= LOOKUP_ROWS else often
+    single = rows.join(side, key, "left_anti")
+    others = [c for c in rows.columns if c not in (key, value)]
+    again = rows.join(side, key, "left_semi").groupBy(key).agg(F.min(F.struct(F.col(value).isNull().alias("_null"), *(F.col(c) for c in (value, *others)))).alias("_row"))
+    return single.unionByName(again.select(key, *(F.col(f"_row.{c}").alias(c) for c in (value, *others))))
+
+
+
+def with_lookup(rows: DataFrame, text: str, table: DataFrame, keys: Callable[[str], Iterable[str]]) -> tuple[DataFrame, dict[str, str]]:
+    """rows with a column ``held`` (map of the table's keys that a text asks for), and the table as a
+    dictionary. Exactly one of both is filled: the dictionary while the table (key, value) has at most
+    LOOKUP_ROWS rows, else the column, from a join by key over the distinct keys of every text."""
+    table = materialize(table.select("key", "value"), "lookup")
+    if table.count() <= LOOKUP_ROWS:
+        return rows.withColumn("held", F.lit(None).cast("map<string,string>")), {r.key: r.value for r in table.collect()}
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                k = sorted(set(keys(t)))
+                if k:
+                    yield pa.RecordBatch.from_arrays([pa.array([h64(t)] * len(k), pa.int64()), pa.array(k, pa.string())], ["h", "key"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([h64(t) for t in b.column(text).to_pylist()], pa.int64())], [*b.schema.names, "h"])
+
+    found = rows.select(text).distinct().mapInArrow(asked, "h bigint, key string").distinct().join(table, "key")
+    held = found.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("held"))
+    marked = rows.mapInArrow(hashed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", h bigint")
+    return marked.join(held, "h", "left").drop("h"), {}
+
+
+def held(batch: pa.RecordBatch) -> list[dict[str, str]]:
+    return [dict(x or ()) for x in batch.column("held").to_pylist()]

@@ -1,17 +1,17 @@
 """Problem 6: noise in text from scanned pages.
 
-Three corpus tables steer the repair, all with a size bound that doesn't depend on the corpus:
-
-* the vocabulary: words and hyphenated compounds whose share of all words is at least SHARE, so
-  there are at most 1/SHARE of them;
+Corpus tables steer the repair. They stay distributed; what the texts ask of them is worked out once
+per distinct word, pair or line, and the answers are looked up (broadcast while they are few, joined
+by key beyond that), so how rare a word or header is decides nothing:
+
+* the vocabulary: all words and hyphenated compounds that occur more than once, with their counts;
+* corrections: a misread word is one that known confusions (1 for i or l, 0 for o, 5 for s, c for e,
+  rn for m and back, fi for ti) turn into a word at least RATIO times as frequent;
+* divided words: a word divided at a line end is a break when the joined word is better known than
+  the hyphenated one;
 * header classes: lines in title case that come again (fuzzily: letters only, confusable characters
-  united, the leading name dropped) and stand where a sentence runs on over them; a class needs
-  LINE_SHARE of all such lines, so there are at most 1/LINE_SHARE classes;
-* captions before bare numbers, with the same bound, which tell a table's figure from a page number.
-
-A word divided at a line end is a break when the joined word is better known than the hyphenated
-one. A misread word is one that known confusions (1 for i or l, 0 for o, 5 for s, c for e, rn for m
-and back, fi for ti) turn into a word at least RATIO times as frequent.
+  united, the leading name dropped) at least SUPPORT times and stand where a sentence runs on over
+  them; captions before bare numbers, which tell a table's figure from a page number.
 
 Defined results: null, empty and blank texts have no noise and come back as they are; only chunks
 whose ``file`` starts with ``doc_`` are read (null files are left out); ids that occur twice count
@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 1e-6
-LINE_SHARE = 1e-4
-RATIO = 10
+from .common import held, materialize, once, with_lookup
+
+RATIO, SUPPORT, FLOWING = 10, 3, 0.3
+#: A word of this share of all words (or so many occurrences) is no misreading of another.
+FREQUENT_SHARE, FREQUENT = 1e-3, 2000
 KINDS = ("hyphen_break", "misread_char", "running_header", "page_number")
 
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -60,16 +62,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _merge_counts(c, "word")
 
 
-def vocabulary(texts: DataFrame) -> tuple[dict[str, int], int]:
-    """Word -> count for words of at least SHARE of all; and the least count that is kept."""
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(word, n) of the words that occur more than once."""
     counts = texts.select("text").where("text is not null").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.where("n > 1").persist()
-    try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        least = max(2, int(SHARE * total))
-        return {r.word: r.n for r in counts.where(F.col("n") >= least).collect()}, least
-    finally:
-        counts.unpersist()
+    return materialize(counts.where("n > 1"), "words")
 
 
 _CANON = str.maketrans({"1": "l", "i": "l", "0": "o", "5": "s", "c": "e", "f": "t"})
@@ -135,38 +131,72 @@ def _edge_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def edge_classes(docs: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """(header classes, captions)."""
+def edge_classes(docs: DataFrame) -> DataFrame:
+    """(key, value): header classes and captions."""
     rows = docs.select("text").mapInArrow(_edge_lines, "kind string, cls string, seen bigint, flowing bigint")
-    rows = rows.groupBy("kind", "cls").agg(F.sum("seen").alias("seen"), F.sum("flowing").alias("flowing")).persist()
-    try:
-        total = {r.kind: r.n for r in rows.groupBy("kind").agg(F.sum("seen").alias("n")).collect()}
-        pick = lambda kind, cond: frozenset(
-            r.cls for r in rows.where((F.col("kind") == kind) & (F.col("seen") >= max(3, LINE_SHARE * total.get(kind, 0))) & cond).select("cls").collect()
-        )
-        headers = pick("h", F.col("flowing") >= 0.3 * F.col("seen"))
-        captions = pick("c", F.col("flowing") < 0.3 * F.col("seen"))
-        return headers, captions
-    finally:
-        rows.unpersist()
+    rows = rows.groupBy("kind", "cls").agg(F.sum("seen").alias("seen"), F.sum("flowing").alias("flowing"))
+    flows = F.col("flowing") >= FLOWING * F.col("seen")
+    kept = rows.where((F.col("seen") >= SUPPORT) & ((F.col("kind") == "h") == flows))
+    return kept.select(F.concat("kind", "cls").alias("key"), F.lit("").alias("value"))
+
+
+def tokens(text: str) -> set[str]:
+    return {x for w in _TOKEN.findall(text) if len(x := w.lower()) > 3 and not x.isdigit() and sum(c.isdigit() for c in x) <= 2}
+
+
+def divided(text: str) -> set[tuple[str, str]]:
+    """Pairs of words around line ends that may be pieces of one word; between two lines that touch
+    once page lines between them are gone, too."""
+    out = set()
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        if m := _BREAK.search(line):
+            for after in lines[k + 1 : k + 6]:
+                if n := re.match(r"\s*([^\W\d_]+)", after):
+                    out.add((m.group(1).lower(), n.group(1).lower()))
+    return out
+
+
+def asked(text: str) -> set[str]:
+    """All keys a text may ask for."""
+    lines = text.split("\n")
+    out = {"m" + w for w in tokens(text)}
+    for l, r in divided(text):
+        out.add(f"b{l}\t{r}")
+    for k, line in enumerate(lines):
+        if _NUMBER_LINE.match(line):
+            if k:
+                out.add("c" + " ".join(_LETTERS.findall(lines[k - 1].lower())))
+        elif (c := fuzzy(line)) is not None:
+            out.add("h" + c)
+    return out
 
 
-class Reader:
-    def __init__(self, vocab: dict[str, int], least: int, headers: frozenset[str], captions: frozenset[str]):
-        self.vocab, self.least, self.headers, self.captions = vocab, least, headers, captions
-        self.memo: dict[str, str | None] = {}
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """('m', token, '') and ('b', left, right), each once a flush."""
+    seen: set[tuple[str, str, str]] = set()
 
-    def corrected(self, word: str) -> str | None:
-        """The word that was misread as ``word`` (lower case), or None."""
-        if word in self.memo:
-            return self.memo[word]
-        if len(self.memo) > 500_000:
-            self.memo.clear()
-        own = max(self.vocab.get(word, 0), 1)
-        best, top = None, RATIO * max(own, 1)
-        if len(word) > 3 and not word.isdigit() and sum(c.isdigit() for c in word) <= 2 and own < 1000 * self.least:
-            level = {word}
-            for _ in range(2):
+    def out() -> pa.RecordBatch:
+        cols = list(zip(*seen)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["kind", "l", "r"])
+
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            seen.update(("m", w, "") for w in tokens(t))
+            seen.update(("b", l, r) for l, r in divided(t))
+        if len(seen) > 200_000:
+            yield out()
+            seen.clear()
+    yield out()
+
+
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, own, level, word): what one or two confusions turn a token into."""
+    for b in batches:
+        rows: list[tuple] = []
+        for token, own in zip(b.column("token").to_pylist(), b.column("own").to_pylist()):
+            level, done = {token}, {token}
+            for depth in (1, 2):
                 following = set()
                 for w in level:
                     for bad, good in CONFUSIONS:
@@ -174,26 +204,54 @@ class Reader:
                         while at >= 0:
                             following.add(w[:at] + good + w[at + len(bad) :])
                             at = w.find(bad, at + 1)
-                for v in following:
-                    n = self.vocab.get(v, 0)
-                    if n >= top and v.isalpha():
-                        best, top = v, n
-                if best:
-                    break
-                level = following
-        self.memo[word] = best
-        return best
+                level = following - done
+                done |= level
+                rows += [(token, own, depth, v) for v in level if v.isalpha()]
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()))], ["token", "own", "level", "word"])
+
+
+def corrections(tokens_: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, fixed, n): the word every misread token stands for, and its count. Fewer confusions
+    come first, then the more frequent word, then the alphabet."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    frequent = max(FREQUENT, int(FREQUENT_SHARE * total))
+    own = tokens_.join(words.select(F.col("word").alias("token"), F.col("n").alias("own")), "token", "left").select("token", F.coalesce("own", F.lit(0)).alias("own")).where(F.col("own") < frequent)
+    made = own.mapInArrow(_variants, "token string, own bigint, level int, word string")
+    good = made.join(words, "word").where(F.col("n") >= RATIO * F.greatest("own", F.lit(1)))
+    best = good.groupBy("token").agg(F.min(F.struct("level", (-F.col("n")).alias("n"), "word")).alias("b"))
+    return best.select("token", F.col("b.word").alias("fixed"), (-F.col("b.n")).alias("n"))
+
+
+def repairs(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, value): corrections of the documents' tokens and the pairs that are divided words."""
+    pieces = materialize(docs.select("text").mapInArrow(_pieces, "kind string, l string, r string").distinct(), "pieces")
+    pairs = pieces.where("kind = 'b'").select("l", "r")
+    wanted = pieces.where("kind = 'm'").select(F.col("l").alias("token")).unionByName(pairs.select(F.concat("l", "r").alias("token"))).distinct()
+    fixed = materialize(corrections(wanted.where("length(token) > 3"), words), "fixed")
+    count = lambda c: words.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
+    p = pairs.withColumn("joined", F.concat("l", "r")).withColumn("compound", F.concat("l", F.lit("-"), "r"))
+    for c in ("joined", "compound", "l", "r"):
+        p = p.join(count(c), c, "left")
+    p = p.join(fixed.select(F.col("token").alias("joined"), F.col("n").alias("n_fixed")), "joined", "left")
+    joined, compound = F.coalesce("n_joined", "n_fixed", F.lit(0)), F.coalesce("n_compound", F.lit(0))
+    broken = F.when((joined > 0) | (compound > 0), joined > compound).otherwise(F.col("n_l").isNull() | F.col("n_r").isNull())
+    return fixed.select(F.concat(F.lit("m"), "token").alias("key"), F.col("fixed").alias("value")).unionByName(p.where(broken).select(F.concat(F.lit("b"), "l", F.lit("\t"), "r").alias("key"), F.lit("").alias("value")))
+
+
+class Reader:
+    """The corpus's answers to what a text asks (see ``asked``)."""
+
+    def __init__(self, known: dict[str, str]):
+        self.known = known
+
+    def corrected(self, word: str) -> str | None:
+        """The word that was misread as ``word`` (lower case), or None."""
+        return self.known.get("m" + word)
 
     def breaks(self, left: str, right: str) -> bool:
         """Whether left- / right is a divided word rather than a compound."""
-        l, r = left.lower(), right.lower()
-        joined = self.vocab.get(l + r, 0)
-        if not joined and (c := self.corrected(l + r)):
-            joined = self.vocab[c]
-        compound = self.vocab.get(f"{l}-{r}", 0)
-        if joined or compound:
-            return joined > compound
-        return not (self.vocab.get(l, 0) and self.vocab.get(r, 0))
+        return f"b{left.lower()}\t{right.lower()}" in self.known
 
     def page_line(self, lines: list[str], k: int) -> str | None:
         """'page_number', 'running_header', 'both' or None for line k."""
@@ -203,10 +261,10 @@ class Reader:
             plain = core.isdigit()
             if not plain and core[:-1].isdigit():  # a sentence's last figure
                 return None
-            if plain and k and " ".join(_LETTERS.findall(lines[k - 1].lower())) in self.captions and not _flows(lines, k):
+            if plain and k and "c" + " ".join(_LETTERS.findall(lines[k - 1].lower())) in self.known and not _flows(lines, k):
                 return None
             return "page_number"
-        if (c := fuzzy(line)) is not None and c in self.headers:
+        if (c := fuzzy(line)) is not None and "h" + c in self.known:
             return "both" if _EDGE.search(line) else "running_header"
         return None
 
@@ -220,17 +278,17 @@ class Reader:
                 kept.append(line)
             else:
                 found |= {"page_number", "running_header"} if what == "both" else {what}
-        divided = set()
+        pieces = set()
         for a, b in zip(kept, kept[1:]):
             m = _BREAK.search(a)
             if m and (n := re.match(r"\s*([^\W\d_]+)", b)):
                 if n.group(1)[0].islower() and self.breaks(m.group(1), n.group(1)):
                     found.add("hyphen_break")
-                divided |= {m.group(1).lower(), n.group(1).lower()}
+                pieces |= {m.group(1).lower(), n.group(1).lower()}
         for line in kept:
             for w in _TOKEN.findall(line):
                 low = w.lower()
-                if low not in divided and self.vocab.get(low, 0) < 1000 * self.least and self.corrected(low):
+                if low not in pieces and self.corrected(low):
                     found.add("misread_char")
                     break
         return found
@@ -264,7 +322,7 @@ class Reader:
     def _mend(self, m: re.Match) -> str:
         w = m.group()
         low = w.lower()
-        if self.vocab.get(low, 0) >= 1000 * self.least or not (v := self.corrected(low)):
+        if not (v := self.corrected(low)):
             return w
         return v.upper() if w.isupper() and len(w) > 1 else v.capitalize() if w[:1].isupper() else v
 
@@ -273,36 +331,38 @@ def scanned(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "text", "file").where("id is not null and text is not null and file like 'doc\\_%'").select("id", "text")
 
 
-def reader(chunks: DataFrame) -> Reader:
-    vocab, least = vocabulary(chunks)
-    headers, captions = edge_classes(scanned(chunks))
-    return Reader(vocab, least, headers, captions)
+def read(chunks: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(id, text, held) of the documents' chunks, each id once where it is repeated, and what is broadcast."""
+    docs = once(scanned(chunks), "text")
+    table = edge_classes(docs).unionByName(repairs(docs, vocabulary(chunks)))
+    return with_lookup(docs, "text", table, asked)
 
 
 def scan_noise(chunks: DataFrame) -> DataFrame:
     """(id, noise_kind)."""
-    shared = chunks.sparkSession.sparkContext.broadcast(reader(chunks))
+    docs, known = read(chunks)
+    shared = chunks.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
         for b in batches:
             ids, kinds = [], []
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                for k in sorted(r.kinds(t)):
+            for i, t, more in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), held(b)):
+                for k in sorted(Reader(more or shared.value).kinds(t)):
                     ids.append(i)
                     kinds.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.string())], ["id", "noise_kind"])
 
-    return scanned(chunks).mapInArrow(run, "id string, noise_kind string").distinct()
+    return docs.mapInArrow(run, "id string, noise_kind string").distinct()
 
 
 def repair_scans(chunks: DataFrame) -> DataFrame:
     """(id, repaired): every document chunk once, its text in continuous paragraphs."""
-    shared = chunks.sparkSession.sparkContext.broadcast(reader(chunks))
+    docs, known = read(chunks)
+    shared = chunks.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.repaired(t) for t in b.column("text").to_pylist()], pa.string())], ["id", "repaired"])
+            fixed = [Reader(more or shared.value).repaired(t) for t, more in zip(b.column("text").to_pylist(), held(b))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fixed, pa.string())], ["id", "repaired"])
 
-    return scanned(chunks).mapInArrow(run, "id string, repaired string").groupBy("id").agg(F.min("repaired").alias("repaired"))
+    return docs.mapInArrow(run, "id string, repaired string")
