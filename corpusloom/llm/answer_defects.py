@@ -4,18 +4,21 @@ Each answer is aligned with its question and with refusal templates, token by to
 
 * copies: every token of the answer comes from the question but for a few, shingles of the answer
   are contained in the question's, and the longest common subsequence covers one of the two;
-* refusals: every sentence of the answer aligns (longest common subsequence over its length) with
-  a template that declines or reports nothing found, or with a courtesy that may follow one;
+* refusals: every sentence of the answer aligns (longest common subsequence over its length, words of
+  one meaning united) with a template that declines or reports nothing found, or with a courtesy
+  that may follow one. Templates are also learned: a sentence that answers at least TEMPLATE
+  different questions and aligns loosely with a template is one;
 * wrong language: script, else function words, name different languages with a clear margin;
 * truncated: the answer stops without a close, on a dangling mark or function word, or inside a
-  word (not in the corpus vocabulary, which is bounded by SHARE, but the beginning of one that is);
+  word (not in the corpus vocabulary, but the beginning of one that is). Which last words are such
+  beginnings is worked out once per distinct last word by joins with the vocabulary's beginnings;
 * empty: nothing but marks, white space, invisible characters or a filler.
 
 A row has one defect; they are tried in the order empty, copy, refusal, language, truncation.
 
 Defined results: a null answer is empty; a null question can be neither copied nor in another
 language; null and empty modes allow a closing ``...`` like extractive ones; rows sent twice under
-one id come out once; null ids are left out; texts are read whole.
+one id come out once; null ids are left out; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, with_lookup
 from .scan_noise import vocabulary
 
 DEFECTS = ("empty_answer", "truncated", "refusal", "copies_question", "wrong_language")
@@ -67,7 +71,36 @@ REFUSALS = (
     "क्षमा करें मैं इस प्रश्न का उत्तर नहीं दे सकता",
     "इन पृष्ठों में इसके बारे में कुछ नहीं मिला",
     "मुझे इसकी जानकारी नहीं मिली",
+    "i am not in a position to help with this matter",
+    "this falls outside what i am able to assist with",
+    "there is no information on that available to me",
+    "the available material gives no answer to this question",
+    "nothing relevant was found in the sources",
+    "no answer is possible",
+    "cannot answer",
+    "cannot answer this",
+    "the documents contain no information on this question",
+    "je n'ai aucune information à ce sujet",
+    "je ne suis pas en mesure de répondre",
+    "ich habe dazu keine angaben gefunden",
+    "darauf kann ich keine antwort geben",
+    "इस बारे में मेरे पास कोई जानकारी नहीं है",
+    "lo siento no puedo responder a esa pregunta",
+    "no encontré información sobre esto en los documentos",
+    "desculpe não posso responder a essa pergunta",
+    "mi dispiace non posso rispondere a questa domanda",
 )
+# Words of one meaning in sentences that decline.
+MEANINGS = {
+    "cannot": "can't cannot couldn't unable won't can’t not don't doesn't didn't isn't wasn't no never nothing none nor",
+    "answer": "answer help assist discuss respond provide reply comment",
+    "question": "question request query enquiry inquiry matter topic subject one",
+    "source": "sources source documents document passages passage pages page material files context",
+    "find": "find found locate located see contain contains contained mention mentions say state",
+    "sorry": "sorry apologies regret unfortunately afraid",
+    "this": "this that these those it",
+    "information": "information details data info anything",
+}
 COURTESIES = (
     "kindly rephrase your question",
     "please check the official site",
@@ -80,8 +113,14 @@ COURTESIES = (
 LANGUAGE_WORDS = {
     "en": frozenset("the of and to in is are for on at by with from that this what which who when where how does do can could has have was were be it an my your and not".split()),
     "fr": frozenset("le la les des du de et en une un pour dans est sont avec sur au aux qui que quand où faut il ce cette nous ne pas par dès lors sous".split()),
+    "es": frozenset("el los las del y en que por para con una es son se su al lo como más pero sus ya hay está cuando donde quién".split()),
+    "pt": frozenset("o os da dos das em na nos nas que por para com uma é são não ao mais mas seu sua quando onde quem".split()),
+    "it": frozenset("il lo gli di del della dei delle che con una è sono non si al alla più ma nel nella quando dove chi".split()),
+    "nl": frozenset("het een van op te dat zijn voor met niet aan er maar om ook als bij naar wordt wanneer waar wie".split()),
     "de": frozenset("der die das den dem des und ist im in für mit von zu zum zur auf bis wo wann wer wie kann ich ein eine nicht werden am ab nach bei liegt".split()),
 }
+#: Languages that share many words with the others; three different words must name them.
+FAR = ("es", "pt", "it", "nl")
 SCRIPTS = (("hi", re.compile("[ऀ-ॿ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ar", re.compile("[؀-ۿ]")), ("zh", re.compile("[぀-ヿ一-鿿가-힯]")))
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _WORD = re.compile(r"[^\W_]+(?:['’ऀ-ःऺ-ॏ‍][^\W_]*)*")
@@ -102,9 +141,11 @@ def language(text: str) -> str | None:
         return None
     words = [w.lower() for w in _WORD.findall(text.replace("’", " "))]
     score = {k: sum(w in v for w in words) for k, v in LANGUAGE_WORDS.items()}
-    for k, marks in (("fr", "éèêàçôû"), ("de", "äöüß")):
+    for k, marks in (("fr", "éèêàçôû"), ("de", "äöüß"), ("es", "ñ¿¡"), ("pt", "ãõ")):
         score[k] += 0.5 * sum(any(c in w for c in marks) for w in words)
     (best, n), (_, m) = sorted(score.items(), key=lambda x: -x[1])[:2]
+    if best in FAR and len(LANGUAGE_WORDS[best].intersection(words)) < 3:
+        return None
     return best if n > 0 and n >= 2 * m and (n >= 2 or len(words) <= 6) else None
 
 
@@ -125,30 +166,49 @@ def tokens(text: str) -> list[str]:
     return [w.lower().replace("’", "'") for w in _WORD.findall(text)]
 
 
-_REFUSALS = [tokens(x) for x in REFUSALS]
-_COURTESIES = [tokens(x) for x in COURTESIES]
+_MEANS = {w: k for k, v in MEANINGS.items() for w in v.split()}
+
+
+def meanings(words: list[str]) -> list[str]:
+    return [_MEANS.get(w, w) for w in words]
+
+
+_REFUSALS = [meanings(tokens(x)) for x in REFUSALS]
+_COURTESIES = [meanings(tokens(x)) for x in COURTESIES]
+_LONGEST = int(1.5 * max(map(len, _REFUSALS))) + 1
+#: Different questions that a learned template answers; how closely it aligns with a fixed one.
+TEMPLATE, LOOSELY = 5, 0.55
 
 
-def _aligned(s: list[str], templates: list[list[str]]) -> bool:
+def _aligned(s: list[str], templates: list[list[str]], most: float = 0.75, least: float = 0.7) -> bool:
     for t in templates:
         if len(s) <= 1.5 * len(t) + 1 and len(t) <= 1.5 * len(s) + 1:
             n = lcs(t, s)
-            if n >= 0.75 * len(t) and n >= 0.7 * len(s):
+            if n >= most * len(t) and n >= least * len(s):
                 return True
     return False
 
 
-def is_refusal(answer: str) -> bool:
-    if len(answer) > 600:
-        return False
-    sentences = [x for x in map(tokens, _SENT.split(answer)) if x]
-    if not sentences:
+def sentences(answer: str) -> list[list[str]]:
+    return [x for x in map(tokens, _SENT.split(answer)) if x]
+
+
+def template_keys(answer: str) -> set[str]:
+    return {"t" + " ".join(s) for s in sentences(answer) if len(s) <= _LONGEST}
+
+
+def is_refusal(answer: str, learned: dict[str, str] | None = None) -> bool:
+    said = sentences(answer)
+    if not said:
         return False
-    declines = [_aligned(s, _REFUSALS) for s in sentences]
+
+    def refuses(s: list[str]) -> bool:
+        return len(s) <= _LONGEST and (_aligned(meanings(s), _REFUSALS) or bool(learned) and "t" + " ".join(s) in learned)
+
+    declines = [refuses(s) for s in said]
     if not any(declines):
-        whole = [w for s in sentences for w in s]
-        return _aligned(whole, _REFUSALS)
-    return all(d or _aligned(s, _COURTESIES) for d, s in zip(declines, sentences))
+        return sum(map(len, said)) <= _LONGEST and refuses([w for s in said for w in s])
+    return all(d or _aligned(meanings(s), _COURTESIES) for d, s in zip(declines, said))
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -178,13 +238,13 @@ _SHORT = re.compile(r"^(?:yes|no|\d|room|rs|on|[A-Z])", re.I)
 
 
 class Truncation:
-    def __init__(self, vocab: dict[str, int]):
-        self.vocab = vocab
-        self.beginnings = {w[:k] for w in vocab for k in range(1, len(w))}
+    """known: the corpus's answers ('p' + word: the word is the beginning of others and no word)."""
+
+    def __init__(self, known: dict[str, str]):
+        self.known = known
 
     def partial(self, word: str) -> bool:
-        w = word.lower()
-        return w not in self.vocab and w in self.beginnings
+        return "p" + word.lower() in self.known
 
     def inside_word(self, answer: str) -> bool:
         words = _WORD.findall(answer)
@@ -218,29 +278,75 @@ def defect(question: str | None, answer: str | None, mode: str | None, cut: Trun
         return "empty_answer"
     if question and is_copy(question, answer) and not cut.inside_word(answer):
         return "copies_question"
-    if is_refusal(answer):
+    if is_refusal(answer, cut.known):
         return "refusal"
     if question and (lq := language(question)) and (la := language(answer)) and lq != la:
         return "wrong_language"
     return "truncated" if cut(answer, mode) else None
 
 
+def last_words(answer: str) -> set[str]:
+    """Words that may have been broken off: the last of the answer and of its last line."""
+    out = set()
+    for part in (answer, answer.strip(" \t\r\n\u00a0​").rsplit("\n", 1)[-1]):
+        if words := _WORD.findall(part[-200:] if len(part) > 200 and _WORD.search(part[-200:]) else part):
+            out.add(words[-1].lower())
+    return out
+
+
+def _asked(answer: str) -> set[str]:
+    return {"p" + w for w in last_words(answer)} | template_keys(answer)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = sorted({w for t in b.column("answer").to_pylist() for w in last_words(t)})
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+
+def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, q): sentences of an answer that align loosely with a template, and the question's hash."""
+    memo: dict[str, bool] = {}
+    for b in batches:
+        rows = []
+        for t, q in zip(b.column("answer").to_pylist(), b.column("q").to_pylist()):
+            for k in template_keys(t):
+                if (hit := memo.get(k)) is None:
+                    if len(memo) > 100_000:
+                        memo.clear()
+                    hit = memo[k] = _aligned(meanings(k[1:].split(" ")), _REFUSALS, LOOSELY, LOOSELY)
+                if hit:
+                    rows.append((k, q))
+        cols = list(zip(*rows)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["key", "q"])
+
+
+def learned_keys(src: DataFrame) -> DataFrame:
+    """(key, value): beginnings of words that end answers, and learned templates."""
+    words = vocabulary(src.select(F.explode(F.array("question", F.regexp_replace("answer", r"\S+\s*$", ""))).alias("text")))
+    answers = src.where("answer is not null")
+    ends = answers.select("answer").mapInArrow(_ends, "word string").distinct().join(words.select("word"), "word", "left_anti")
+    begin = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("word"))
+    partial = ends.join(begin.where("word <> ''"), "word", "left_semi").select(F.concat(F.lit("p"), "word").alias("key"))
+    told = answers.select("answer", F.xxhash64(F.lower(F.coalesce("question", F.lit("")))).alias("q")).mapInArrow(_loose, "key string, q bigint")
+    often = told.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE).select("key")
+    return partial.unionByName(often).select("key", F.lit("").alias("value"))
+
+
 def answer_defects(feedback: DataFrame) -> DataFrame:
     """(feedback_id, defect)."""
     src = feedback.select("feedback_id", "question", "answer", "mode").where("feedback_id is not null")
-    both = src.select(F.explode(F.array("question", F.regexp_replace("answer", r"\S+\s*$", ""))).alias("text"))
-    vocab, _ = vocabulary(both)
-    shared = feedback.sparkSession.sparkContext.broadcast(vocab)
+    rows, known = with_lookup(src, "answer", learned_keys(src), lambda t: _asked(t) if t else ())
+    shared = feedback.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Truncation(shared.value)
         for b in batches:
             d = b.to_pydict()
             ids, out = [], []
-            for i, q, a, m in zip(d["feedback_id"], d["question"], d["answer"], d["mode"]):
-                if (x := defect(q, a, m, cut)) is not None:
+            for i, q, a, m, more in zip(*(d[c] for c in ("feedback_id", "question", "answer", "mode")), held(b)):
+                if (x := defect(q, a, m, Truncation(more or shared.value))) is not None:
                     ids.append(i)
                     out.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["feedback_id", "defect"])
 
-    return src.mapInArrow(run, "feedback_id bigint, defect string").groupBy("feedback_id").agg(F.min("defect").alias("defect"))
+    return rows.mapInArrow(run, "feedback_id bigint, defect string").groupBy("feedback_id").agg(F.min("defect").alias("defect"))

@@ -33,9 +33,9 @@ def host_of(url: Column) -> Column:
     return F.when(h == "", None).otherwise(h)
 
 
-def h64(s: str) -> int:
+def h64(s: str | None) -> int:
     """Signed 64-bit hash of a string, the same in every process."""
-    x = xxhash.xxh3_64_intdigest(s)
+    x = xxhash.xxh3_64_intdigest(s or "")
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -77,7 +77,7 @@ def with_lookup(rows: DataFrame, text: str, table: DataFrame, keys: Callable[[st
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0).to_pylist():
-                k = sorted(set(keys(t)))
+                k = sorted(set(keys(t))) if t else ()
                 if k:
                     yield pa.RecordBatch.from_arrays([pa.array([h64(t)] * len(k), pa.int64()), pa.array(k, pa.string())], ["h", "key"])
 

@@ -211,6 +211,22 @@ def test_answer_defects(spark):
     assert answer_defects.answer_defects(f.limit(0)).collect() == []
 
 
+def test_refusals_of_any_length_and_wording(spark, monkeypatch):
+    one = "I'm sorry, but I can't help with that request."
+    unseen = ["Unfortunately I cannot assist with this query.", "The material contains no details on this matter.", "Can't answer that.", "Lo siento, no puedo responder a esa pregunta."]
+    assert answer_defects.is_refusal(one * 1) and answer_defects.is_refusal(" ".join([one] * 40)) and all(map(answer_defects.is_refusal, unseen))
+    fine = "You cannot enter the hall without a card. The office will answer your request in two days. Please bring the form."
+    assert not answer_defects.is_refusal(fine)
+    assert answer_defects.language("La biblioteca está abierta los sábados y los domingos para todos.") == "es"
+    assert answer_defects.language("₹41,500 per semester") != "it"
+    odd = "No details on this lie available to my desk."
+    rows = [(i, f"What is the fee of course {i}?", odd, "llm", None) for i in range(6)] + [(9, "What is the fee of course 9?", "The fee is fifty rupees.", "llm", None)]
+    f = spark.createDataFrame(rows, FEEDBACK)
+    for bound in (300_000, 0):  # looked up in a dictionary, or joined
+        monkeypatch.setattr(common, "LOOKUP_ROWS", bound)
+        assert set(got(answer_defects.answer_defects(f))) == {(i, "refusal") for i in range(6)}
+
+
 def test_longest_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -277,6 +293,13 @@ def test_scan_noise_and_repair(spark):
     assert "Minutes" not in fixed["s0"] and "12" not in fixed["s10"] and fixed["sound"] == "The office must bring the library to the students."
 
 
+def test_lookups_by_join_give_the_same(spark, monkeypatch):
+    c = chunks(spark, [(i, "\n".join(l[:2] + ["Foo College Minutes 2010-11"] + l[2:] + ["the cert1ficate and certi-", "ficate"]), "u", None, f) for i, l, f in scans(12)] * 2)
+    want = got(scan_noise.scan_noise(c)), got(scan_noise.repair_scans(c))
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 0)
+    assert (got(scan_noise.scan_noise(c)), got(scan_noise.repair_scans(c))) == want and len(want[0]) >= 24
+
+
 # --- 7
 
 
