@@ -51,21 +51,22 @@ def narrow_words(s: str) -> list[str]:
 
 
 def once(rows: DataFrame, value: str, key: str = "id") -> DataFrame:
-    """rows (key, value, ...) with every key once, the smallest value of repeated keys (nulls last).
+    """rows (key, value, ...) with every key once, the smallest value of repeated keys (nulls last);
+    null keys count as one.
     Keys that come once, nearly all, stay where they are: only keys and counts are shuffled to find
     the repeated ones, and of rows only those with a repeated key."""
-    often = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
+    often = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
     few = often.count()
-    if not few:
-        return rows
     side = F.broadcast(often) if few <= LOOKUP_ROWS else often
-    single = rows.join(side, key, "left_anti")
+    none = rows.where(F.col(key).isNull())
+    again = rows.join(side, key, "left_semi").unionByName(none) if few else none
+    single = rows.where(F.col(key).isNotNull())
+    single = single.join(side, key, "left_anti") if few else single
     others = [c for c in rows.columns if c not in (key, value)]
-    again = rows.join(side, key, "left_semi").groupBy(key).agg(F.min(F.struct(F.col(value).isNull().alias("_null"), *(F.col(c) for c in (value, *others)))).alias("_row"))
+    again = again.groupBy(key).agg(F.min(F.struct(F.col(value).isNull().alias("_null"), *(F.col(c) for c in (value, *others)))).alias("_row"))
     return single.unionByName(again.select(key, *(F.col(f"_row.{c}").alias(c) for c in (value, *others))))
 
 
-
 def with_lookup(rows: DataFrame, text: str, table: DataFrame, keys: Callable[[str], Iterable[str]]) -> tuple[DataFrame, dict[str, str]]:
     """rows with a column ``held`` (map of the table's keys that a text asks for), and the table as a
     dictionary. Exactly one of both is filled: the dictionary while the table (key, value) has at most

@@ -12,9 +12,12 @@ Valid classes are nested into the page's template: what stands between or right
 list (links, titles) fills its slots and goes with it; lists of items that are pieces themselves
 (menus, breadcrumbs) are pieces. Everything else is the page's own data: its main body.
 
-Only hashes of lines are moved: texts are read twice and never shuffled but for ``main_bodies``.
-Collection-wide classes are kept from a share of KEY_SHARE of all lines on, so there are at most
-1/KEY_SHARE of them; classes of single hosts stay distributed and are joined.
+Only hashes of lines are moved: texts are read twice and never shuffled (but those of repeated ids).
+Lines of any length are hashed; one of more than LONG_LINE words (a cookie notice, a paragraph) is a
+piece only as a whole, and in its host's class only on LONG_SHARE of the host's pages, as paragraphs
+come again on copies of a page, too. Collection-wide classes are broadcast while there are at most
+LOOKUP_ROWS of them and joined to the pages' tokens beyond that; classes of single hosts stay
+distributed and are joined.
 
 Defined results: null, empty and blank texts have no lines to report; a null ``file`` counts as a
 web page; pages without host only use collection-wide classes; ids that occur twice count once.
@@ -29,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import h64, host_of, materialize
+from . import common
+from .common import h64, host_of, materialize, once
 from .mojibake import readings
 
-KEY_SHARE = 2e-6
 MIN_PAGES = 4
 MIN_CLASS = 2
 HOST_SHARE = 0.02
 #: Expected occurrences in documents from which their absence says something; highest ratio kept.
 EXPECTED, RATIO = 4.0, 0.1
-LONG_LINE = 25
+LONG_LINE, LONG_SHARE = 25, 0.1
 
 # Month names, which are slots.
 _MONTHS = frozenset(
@@ -92,9 +95,11 @@ def flags(line: str) -> int:
 def line_record(line: str, host: str | None) -> tuple[int, int, int, int, int, list[int]]:
     """(flags, full, opening of two, opening of one, close, items) as hashes; 0: none."""
     f = flags(line)
-    if f & BLANK or f & LONG:
+    if f & BLANK:
         return f, 0, 0, 0, 0, []
     s = skeleton(line, host)
+    if f & LONG and not _SPLIT_HINT.search(line):
+        return f, h64(s), 0, 0, 0, []
     w = s.split(" ")
     one = h64("1 " + w[0]) if len(w) > 1 and (w[0].endswith(":") or not w[0][0].isalnum()) and w[0] not in ("-", "–") else 0
     two = h64("2 " + " ".join(w[:2])) if len(w) > 2 else 0
@@ -167,14 +172,24 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n), pa.array(m)], ["key", "web", "docs"])
 
 
-def shared_classes(records: DataFrame) -> frozenset[int]:
-    """Tokens that belong to templates over the whole collection."""
-    size = records.agg(F.sum((~F.col("doc")).cast("long")).alias("w"), F.sum(F.col("doc").cast("long")).alias("d"), F.sum(F.size("lines")).alias("n")).first()
+def shared_classes(records: DataFrame) -> DataFrame:
+    """(key): tokens that belong to templates over the whole collection."""
+    size = records.agg(F.sum((~F.col("doc")).cast("long")).alias("w"), F.sum(F.col("doc").cast("long")).alias("d")).first()
     ratio = (size.d or 0) / max(1, size.w or 0)
-    least = max(8.0, KEY_SHARE * (size.n or 0), EXPECTED / max(ratio, 0.02))
+    least = max(8.0, EXPECTED / max(ratio, 0.02))
     keys = records.select("doc", "lines").mapInArrow(_tally, "key bigint, web bigint, docs bigint").groupBy("key").agg(F.sum("web").alias("web"), F.sum("docs").alias("docs"))
-    good = keys.where((F.col("web") >= least) & (F.col("docs") <= RATIO * ratio * F.col("web")))
-    return frozenset(r.key for r in good.select("key").collect())  # at most 1/KEY_SHARE rows
+    return materialize(keys.where((F.col("web") >= least) & (F.col("docs") <= RATIO * ratio * F.col("web"))).select("key"), "shared")
+
+
+def with_shared(pages: DataFrame, keys: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """pages with a column ``known`` (the shared tokens of a page), and all of them as a set; one of
+    both is filled, see common.with_lookup."""
+    if keys.count() <= common.LOOKUP_ROWS:
+        return pages.withColumn("known", F.lit(None).cast("array<bigint>")), frozenset(r.key for r in keys.collect())
+    line = pages.select("id", F.explode("lines").alias("l"))
+    token = line.select("id", F.explode(F.concat(F.array("l.full", "l.two", "l.one", "l.close"), F.coalesce("l.items", F.array().cast("array<bigint>")))).alias("key"))
+    known = token.distinct().join(keys, "key").groupBy("id").agg(F.collect_list("key").alias("known"))
+    return pages.join(known, "id", "left"), frozenset()
 
 
 def host_classes(records: DataFrame) -> DataFrame:
@@ -183,13 +198,15 @@ def host_classes(records: DataFrame) -> DataFrame:
     MIN_PAGES pages and HOST_SHARE of its host's: a heading comes again on a few pages, a template
     piece on a fixed part of all. Single tokens need twice that share."""
     line = records.where("host is not null").select("id", "host", F.explode("lines").alias("l")).where("l.full <> 0")
-    token = line.select("id", "host", F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("l.full").alias("key")), F.struct(F.lit(1).alias("role"), F.col("l.two").alias("key")), F.struct(F.lit(2).alias("role"), F.col("l.close").alias("key")))).alias("t"))
+    whole = F.when(F.col("l.f").bitwiseAND(LONG) == LONG, 3).otherwise(0)
+    token = line.select("id", "host", F.explode(F.array(F.struct(whole.alias("role"), F.col("l.full").alias("key")), F.struct(F.lit(1).alias("role"), F.col("l.two").alias("key")), F.struct(F.lit(2).alias("role"), F.col("l.close").alias("key")))).alias("t"))
     page = F.xxhash64("id").cast("decimal(38,0)")
     seen = token.where("t.key <> 0").groupBy("host", "t.role", "t.key").agg(F.sum(page).alias("vector"), F.count("*").alias("pages"))
     size = records.where("host is not null").groupBy("host").agg(F.count("*").alias("all"))
     kept = seen.where(F.col("pages") >= MIN_PAGES).join(size, "host").where(F.col("pages") >= HOST_SHARE * F.col("all"))
     classes = kept.groupBy("host", "vector", "pages").agg(F.count("*").alias("tokens"))
-    valid = kept.where("role = 0").join(classes, ["host", "vector", "pages"]).where((F.col("tokens") >= MIN_CLASS) | (F.col("pages") >= 2 * HOST_SHARE * F.col("all")))
+    kept = kept.where((F.col("role") < 3) | (F.col("pages") >= LONG_SHARE * F.col("all")))
+    valid = kept.where("role in (0, 3)").join(classes, ["host", "vector", "pages"]).where((F.col("tokens") >= MIN_CLASS) | (F.col("pages") >= 2 * HOST_SHARE * F.col("all")))
     return valid.select("host", F.col("key").alias("full")).distinct()
 
 
@@ -200,7 +217,7 @@ def template_lines(lines: list[dict], shared: frozenset[int], own: set[int]) ->
     body = NUMBERED | DASHED | ROW
     for k, l in enumerate(lines):
         f = l["f"]
-        if f & (BLANK | LONG):
+        if f & BLANK:
             continue
         if l["full"] in shared or k in own and not f & body:
             hit[k] = True
@@ -216,7 +233,7 @@ def template_lines(lines: list[dict], shared: frozenset[int], own: set[int]) ->
             k += 1
             continue
         j = k + 1
-        while j < n and (lines[j]["f"] & BLANK or not hit[j] and lines[j]["f"] & TITLE and not lines[j]["f"] & (body | SENTENCE | LONG)):
+        while j < n and (lines[j]["f"] & BLANK or not hit[j] and lines[j]["f"] & TITLE and not lines[j]["f"] & (body | SENTENCE)):
             j += 1
         gap = [i for i in range(k + 1, j) if not lines[i]["f"] & BLANK]
         if gap and (j < n and hit[j] or j == n) and lines[k]["f"] & TITLE:
@@ -228,11 +245,10 @@ def template_lines(lines: list[dict], shared: frozenset[int], own: set[int]) ->
 
 def _decide(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
         for b in batches:
             ids, nos = [], []
-            for i, lines, own in zip(b.column("id").to_pylist(), b.column("lines").to_pylist(), b.column("own").to_pylist()):
-                for k in template_lines(lines, keys, set(own or ())):
+            for i, lines, own, known in zip(*(b.column(c).to_pylist() for c in ("id", "lines", "own", "known"))):
+                for k in template_lines(lines, frozenset(known) if known else shared.value, set(own or ())):
                     ids.append(i)
                     nos.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nos, pa.int32())], ["id", "line_no"])
@@ -243,11 +259,12 @@ def _decide(shared):
 def boilerplate_lines(chunks: DataFrame) -> DataFrame:
     """(id, line_no) of the lines of web pages that aren't main content."""
     records = page_records(chunks)
-    shared = chunks.sparkSession.sparkContext.broadcast(shared_classes(records))
     pages = records.where("not doc")
     line = pages.where("host is not null").select("id", "host", F.posexplode("lines").alias("no", "l")).where("l.full <> 0").select("id", "host", "no", F.col("l.full").alias("full"))
     own = line.join(host_classes(records), ["host", "full"], "left_semi").groupBy("id").agg(F.collect_list("no").alias("own"))
-    return pages.join(own, "id", "left").select("id", "lines", "own").mapInArrow(_decide(shared), "id string, line_no int")
+    rows, keys = with_shared(pages.select("id", "lines"), shared_classes(records))
+    shared = chunks.sparkSession.sparkContext.broadcast(keys)
+    return rows.join(own, "id", "left").select("id", "lines", "own", "known").mapInArrow(_decide(shared), "id string, line_no int")
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,5 +281,4 @@ def main_bodies(chunks: DataFrame) -> DataFrame:
     """(id, body): every web-page chunk once, its text without the template."""
     gone = boilerplate_lines(chunks).groupBy("id").agg(F.collect_list("line_no").alias("gone"))
     web = chunks.where(F.col("id").isNotNull() & ~F.coalesce(F.col("file").startswith("doc_"), F.lit(False)))
-    pages = web.groupBy("id").agg(F.min_by("text", F.coalesce(F.col("fetched"), F.lit(""))).alias("text"))
-    return pages.join(gone, "id", "left").select("id", "text", "gone").mapInArrow(_bodies, "id string, body string")
+    return once(web.select("id", "text"), "text").join(gone, "id", "left").select("id", "text", "gone").mapInArrow(_bodies, "id string, body string")

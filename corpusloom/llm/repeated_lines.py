@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import h64, host_of, materialize
+from .common import h64, host_of, materialize, once
 
 _SPACE = re.compile("[ \t\r\u00a0]+")
 
@@ -107,7 +107,7 @@ def line_table(chunks: DataFrame, rows_per_part: int = 20_000) -> DataFrame:
     src = chunks.select("id", F.col("fetched").cast("string").alias("fetched"), "text", host_of(F.col("source_url")).alias("host"))
     src = src.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("host").isNotNull())
     parts = max(16, -(-chunks.count() // rows_per_part))
-    keyed = src.mapInArrow(_line_keys, "id string, fetched string, keys array<bigint>")
+    keyed = materialize(src.mapInArrow(_line_keys, "id string, fetched string, keys array<bigint>"), "linekeys")
     return keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
 
 
@@ -164,5 +164,5 @@ def strip_repeated(chunks: DataFrame, min_docs: int = 8) -> DataFrame:
     """(id, clean_text, removed): each chunk id once, its text without the repeated lines. Texts
     without such a line, and null texts, come back as they are."""
     gone = repeated_lines(chunks, min_docs).groupBy("id").agg(F.collect_list("line_no").alias("gone"))
-    first = chunks.groupBy("id").agg(F.min_by("text", F.coalesce(F.col("fetched"), F.lit(""))).alias("text"))
+    first = once(chunks.select("id", F.coalesce(F.col("fetched"), F.lit("")).alias("fetched"), "text"), "fetched")
     return first.join(gone, "id", "left").select("id", "text", "gone").mapInArrow(_strip, "id string, clean_text string, removed int")

@@ -193,6 +193,24 @@ def test_template_lines(spark):
     assert len(bodies) == 40 and bodies["w0"].startswith("Chapter ashwoodashwood\n") and "Quick" not in bodies["w0"]
 
 
+def test_long_notices_and_joined_lookups(spark, monkeypatch):
+    notice = " ".join(f"cookie{k % 9}" for k in range(40)) + " on this site."
+    rows = [(i, t + ("\n" + notice if i.startswith("w") else ""), u, ti, f) for i, t, u, ti, f in site()]
+    want = {f"w{i}": {0, 1, 6, 7, 8, 9, 10} for i in range(40)}
+    for bound in (300_000, 0):
+        monkeypatch.setattr(common, "LOOKUP_ROWS", bound)
+        lines = defaultdict(set)
+        for i, n in got(page_template.boilerplate_lines(chunks(spark, rows))):
+            lines[i].add(n)
+        assert dict(lines) == want
+
+
+def test_repeated_ids_without_moving_texts(spark):
+    rows = [("a", "2", 1), ("a", "1", 2), ("b", None, 3), (None, "x", 4), (None, "y", 5), ("c", None, 6), ("c", "z", 7)]
+    df = spark.createDataFrame(rows, "id string, text string, n int")
+    assert sorted(str(tuple(r)) for r in common.once(df, "text").collect()) == sorted(map(str, [("a", "1", 2), ("b", None, 3), (None, "x", 4), ("c", "z", 7)]))
+
+
 # --- 4
 
 
