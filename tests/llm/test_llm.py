@@ -71,8 +71,7 @@ def test_personal_info_by_co_occurrence(spark):
 
 @pytest.mark.parametrize("bound", [300_000, 0])
 def test_rare_names_and_streets(spark, monkeypatch, bound):
-    monkeypatch.setattr(personal_info, "TERM_SHARE", 0.01)  # a floor of several occurrences, as in a large corpus
-    monkeypatch.setattr(personal_info, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", bound)
     rare = ["We met Dr. Quilla Vornak there.", *(f"House No. {i}, Old Brelk, Ostrow" for i in range(3)), "see 12 Old Brelk, Ostrow now"]
     c = chunks(spark, [(f"t{i}", t) for i, t in enumerate(people() + ["Common Words Here"] * 99)] + [(f"r{i}", t) for i, t in enumerate(rare)])
     none = spark.createDataFrame([], FEEDBACK)
@@ -82,6 +81,17 @@ def test_rare_names_and_streets(spark, monkeypatch, bound):
     assert clean["r0"] == "We met Dr. [NAME] there." and "Brelk" not in clean["r4"]
 
 
+def test_nothing_is_found_without_the_learned_tables(spark):
+    texts = people() + ["write to a.b@x.example"]
+    d = personal_info.Disclosure({}, frozenset())
+    assert all(d.spans(t) == [] for t in texts)
+    table, classes = personal_info.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    known = {r.key: r.value for r in table.collect()}
+    full = personal_info.Disclosure(known, classes)
+    assert {k for t in texts for _, _, k in full.spans(t)} == set(personal_info.TYPES)
+    assert any(k[0] == "x" and k in personal_info.asked(t) for t in texts for k in known)
+
+
 # --- 2
 
 
