@@ -38,3 +38,14 @@ def test_fetch_failures_are_rows(spark):
 def test_robots(spark):
     df = spark.createDataFrame([("http://x/private/a", "User-agent: *\nDisallow: /private/"), ("http://x/a", "User-agent: *\nDisallow: /private/"), ("http://x/private/a", None)], "u string, r string")
     assert [r.a for r in df.select(web.allowed(F.col("u"), F.col("r")).alias("a")).collect()] == [False, True, True]
+
+
+def test_intermediate_tables_go_away(spark):
+    from pathlib import Path
+
+    from corpusloom.sources.shared import drop_tables, shared_dir, shared_table
+
+    df = shared_table(spark.range(5), "gone")
+    path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert df.count() == 5 and Path(path).exists() and path.startswith(shared_dir(spark).removeprefix("file:"))
+    assert drop_tables(spark) >= 1 and not Path(path).exists() and drop_tables(spark) == 0
