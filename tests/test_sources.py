@@ -46,6 +46,6 @@ def test_intermediate_tables_go_away(spark):
     from corpusloom.sources.shared import drop_tables, shared_dir, shared_table
 
     df = shared_table(spark.range(5), "gone")
-    path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert df.count() == 5 and Path(path).exists() and path.startswith(shared_dir(spark).removeprefix("file:"))
     assert drop_tables(spark) >= 1 and not Path(path).exists() and drop_tables(spark) == 0
