@@ -55,6 +55,8 @@ _DIGITS = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _SEPS = re.compile(r"\s*[|·»›>•/\ufffd]\s*|\s{2,}|\t")
 _SPLIT_HINT = re.compile(r"[|·»>•/\ufffd]|\S\s{2,}\S")
 
+_NO_DIGITS = {ord(c): None for c in "0123456789"}
+
 BLANK, SENTENCE, NUMBERED, DASHED, ROW, LIST, TITLE, LONG = (1 << k for k in range(8))
 _NUMBERED = re.compile(r"^\d{1,3}[.)]\s")
 _ROW = re.compile(r"\s\d+\s+\d+\D{0,2}$|^\d+\s*(?:\||\s\s)|\|\s*\d")
@@ -97,9 +99,9 @@ def line_record(line: str, host: str | None) -> tuple[int, int, int, int, int, l
     f = flags(line)
     if f & BLANK:
         return f, 0, 0, 0, 0, []
+    if f & LONG and not _SPLIT_HINT.search(line):  # no slots but digits: cheap, as most text is in such lines
+        return f, h64(" ".join(line.lower().translate(_NO_DIGITS).split())), 0, 0, 0, []
     s = skeleton(line, host)
-    if f & LONG and not _SPLIT_HINT.search(line):
-        return f, h64(s), 0, 0, 0, []
     w = s.split(" ")
     one = h64("1 " + w[0]) if len(w) > 1 and (w[0].endswith(":") or not w[0][0].isalnum()) and w[0] not in ("-", "–") else 0
     two = h64("2 " + " ".join(w[:2])) if len(w) > 2 else 0
