@@ -177,6 +177,7 @@ class Model:
     """Hashed counts of character bigrams, and of single characters outside ASCII."""
 
     def __init__(self, counts: np.ndarray):
+        self.memo: dict[str, tuple] = {}
         self.log = np.log(counts + 0.05) - np.log(counts.sum() + 0.05 * BINS)
         self.seen = counts
 
@@ -284,6 +285,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Share of garbled runs a source starts with; runs it counts as; weight of the pages' say in a table.
 START, RUNS, SMOOTH = 1e-4, 100.0, 0.5
+#: Log odds at which a run is sound whatever its source's table says.
+SURE = 16.0
 
 
 class Cipher:
@@ -318,12 +321,24 @@ class Cipher:
 
 
 def swap_posterior(model: Model, cipher: Cipher, before: str, run: str, after: str) -> tuple[np.ndarray, list[str]]:
-    """Weights of [sound, *readings] and the readings."""
-    opts = cipher.readings(run)
+    """Weights of [sound, *readings] and the readings. What the language model says of a run is the
+    same for all sources and kept."""
+    key = before + run + after
+    known = model.memo.get(key)
+    if known is None:
+        if len(model.memo) > 200_000:
+            model.memo.clear()
+        opts = swap_readings(run)
+        known = model.memo[key] = (model.weigh(before, run, after), opts, np.array([model.weigh(before, r, after, True) for r in opts]))
+    sound, opts, weighed = known
     share = cipher.share()
-    logs = [np.log(1 - share) + model.weigh(before, run, after)]
-    logs += [np.log(share) + cipher.told(run, r, len(opts)) + model.weigh(before, r, after, True) for r in opts]
-    x = np.exp(np.array(logs) - max(logs))
+    if float(weighed.max()) + np.log(share) - sound < -SURE:  # whatever the table says
+        return np.ones(1), []
+    more = [r for r in cipher.readings(run) if r not in opts]
+    if more:
+        opts, weighed = (*opts, *more), np.append(weighed, [model.weigh(before, r, after, True) for r in more])
+    logs = np.append([np.log(1 - share) + sound], np.log(share) + weighed + [cipher.told(run, r, len(opts)) for r in opts])
+    x = np.exp(logs - logs.max())
     return x / x.sum(), list(opts)
 
 
@@ -360,7 +375,9 @@ def _swap_step(counts: np.ndarray | None):
                     w, texts = swap_posterior(model, known[host], a, r, z)
                     texts = [r, *texts]
                     table[host, "-"] += w[0] * n
-                    if w[0] < 0.999:
+                    if len(w) == 1:
+                        texts = [r]
+                    elif w[0] < 0.999:
                         table[host, "+"] += (1 - w[0]) * n
                 for x, t in zip(w, texts):
                     if x > 1e-3:
