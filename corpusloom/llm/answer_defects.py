@@ -175,12 +175,16 @@ def meanings(words: list[str]) -> list[str]:
 
 _REFUSALS = [meanings(tokens(x)) for x in REFUSALS]
 _COURTESIES = [meanings(tokens(x)) for x in COURTESIES]
+_TEMPLATE_WORDS = frozenset(w for t in (*_REFUSALS, *_COURTESIES) for w in t)
 _LONGEST = int(1.5 * max(map(len, _REFUSALS))) + 1
 #: Different questions that a learned template answers; how closely it aligns with a fixed one.
 TEMPLATE, LOOSELY = 5, 0.55
 
 
 def _aligned(s: list[str], templates: list[list[str]], most: float = 0.75, least: float = 0.7) -> bool:
+    known = _TEMPLATE_WORDS
+    if sum(w in known for w in s) < least * len(s):  # no template can hold enough of it
+        return False
     for t in templates:
         if len(s) <= 1.5 * len(t) + 1 and len(t) <= 1.5 * len(s) + 1:
             n = lcs(t, s)
