@@ -3,6 +3,7 @@ for malformed HTML, so this is one of the few places where rows go through Pytho
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit, urlunsplit
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 DROPPED = frozenset(("nav", "header", "footer", "script", "style", "noscript", "form"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MAIN = ("main", "article", "body")
+STATIC = re.compile(r"\.(jpg|jpeg|png|gif|svg|zip|docx?|xlsx?|pptx?|pdf)$", re.I)
 
 
 class _Page(HTMLParser):
@@ -30,11 +32,14 @@ class _Page(HTMLParser):
         self.titles: dict[str, list[str] | None] = {"h1": None, "title": None}
         self.done: set[str] = set()
         self.links: list[tuple[str, list[str]]] = []
+        self.anchors: list[bool] = []  # of the open a elements: whether they have an address
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         href = dict(attrs).get("href") if tag == "a" else None
         if href is not None:
             self.links.append((href, []))
+        if tag == "a":
+            self.anchors.append(href is not None)
         if tag in VOID:
             return
         self.open.append(tag)
@@ -51,6 +56,8 @@ class _Page(HTMLParser):
         while self.open:
             t = self.open.pop()
             self.depth -= t in DROPPED
+            if t == "a":
+                self.anchors.pop()
             if t in self.titles and self.titles[t] is not None:
                 self.done.add(t)
             if t in MAIN and t not in self.open and t in self.began:
@@ -59,7 +66,7 @@ class _Page(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.links and "a" in self.open:
+        if self.anchors and self.anchors[-1]:
             self.links[-1][1].append(data)
         if self.depth:
             return
@@ -91,11 +98,11 @@ def parse(html: str, url: str) -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def internal(links: list[tuple[str, str]], host: str) -> list[str]:
-    """Distinct same-host page addresses without query, in order."""
+    """Distinct same-host page addresses without query, in order; static files aren't pages."""
     out: dict[str, None] = {}
     for link, _ in links:
         u = urlsplit(link)
-        if u.netloc == host and u.scheme in ("http", "https"):
+        if u.netloc == host and u.scheme in ("http", "https") and not STATIC.search(u.path):
             out[urlunsplit((u.scheme, u.netloc, u.path, "", ""))] = None
     return list(out)
 

@@ -22,8 +22,8 @@ def is_day_grid(headers: Column, rows: Column) -> Column:
     return (F.size(h) >= 3) & (months >= F.size(h) * 0.6) & ((F.size(values) == 0) | (days >= F.size(values) * 0.7))
 
 
-def clean_context(c: Column, letterhead: str = "(?i)national institute of technology") -> Column:
-    """Heading without letterheads and wrongly decoded words, trimmed of marks."""
+def clean_context(c: Column, letterhead: str) -> Column:
+    """Heading without wrongly decoded words, trimmed of marks; empty if it matches the letterhead."""
     garbled = r"""(?i)^[a-z]*['"¸ª;|\]]+[a-z'"¸ª;|\]]*$"""
     kept = F.array_join(F.filter(F.split(clean(c), " "), lambda w: ~w.rlike(garbled)), " ")
     return F.when(c.rlike(letterhead), "").otherwise(F.btrim(clean(kept), F.lit(" ,;|-:")))

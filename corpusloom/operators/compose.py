@@ -11,12 +11,12 @@ MAX_CHARS, MAX_PASSAGE = 7000, 1000
 
 
 def conflict_flag(ranked: DataFrame, query_key: str, least: float = 0.15) -> DataFrame:
-    """(query_key, conflict): the two best passages come from different sources, share little of
-    their words, and the second has a score above ``least``."""
-    pair = ranked.where("rank <= 2").groupBy(query_key).agg(*(F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("source_url", "text", "score")))
+    """(query_key, conflict, title1, title2): the two best passages come from different sources, share
+    little of their words, and the second has a score above ``least``; and what they are titled."""
+    pair = ranked.where("rank <= 2").groupBy(query_key).agg(*(F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("source_url", "text", "score", "title")))
     differ = F.col("source_url1") != F.col("source_url2")
     overlap = vocabulary_overlap(F.col("text1"), F.col("text2"))
-    return pair.select(query_key, F.coalesce(differ & (overlap < least) & (F.col("score2") > least), F.lit(False)).alias("conflict"))
+    return pair.select(query_key, F.coalesce(differ & (overlap < least) & (F.col("score2") > least), F.lit(False)).alias("conflict"), "title1", "title2")
 
 
 def block(title: Column, url: Column, fetched: Column, text: Column) -> Column:
@@ -51,11 +51,15 @@ def context(passages: DataFrame, query_key: str, budget: int = MAX_CHARS) -> Dat
 
 
 def extractive_answers(best: DataFrame, query_key: str) -> DataFrame:
-    """(query_key, answer) from (query_key, part_no, sub_question, title, text, conflict): what the best
-    passage of every part says, or that there is none; parts in order."""
+    """(query_key, answer) from (query_key, part_no, sub_question, title, text, conflict, title1, title2):
+    what the best passage of every part says, or that there is none; parts in order. A conflict names
+    the two pages that disagree."""
+    # Sentences of an answer without a model.
     said = F.concat(F.lit('On "'), F.col("sub_question"), F.lit('" — '), F.col("title"), F.lit(" says: "), first_sentences(F.col("text")))
+    names = F.concat(F.lit(" ("), F.coalesce("title1", F.lit("")), F.lit(" vs "), F.coalesce("title2", F.lit("")), F.lit(")")) if "title1" in best.columns else F.lit("")
+    note = F.concat(F.lit("\n\n(Note: Top two matches come from different pages"), names, F.lit(" with little shared content -- verify both before trusting one over the other.)"))
     none = F.concat(F.lit("No good match found for: "), F.col("sub_question"), F.lit("."))
-    part = F.when(F.col("text").isNull(), none).when(F.coalesce("conflict", F.lit(False)), F.concat(said, F.lit("\n\n(Note: the two best passages come from different pages with little shared content.)"))).otherwise(said)
+    part = F.when(F.col("text").isNull(), none).when(F.coalesce("conflict", F.lit(False)), F.concat(said, note)).otherwise(said)
     rows = best.select(query_key, F.struct(F.col("part_no"), part.alias("said")).alias("p"))
     return rows.groupBy(query_key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["said"]), "\n\n").alias("answer"))
 

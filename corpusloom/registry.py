@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .functions import attributes, html, questions, tables, text
-from .operators import chunking, compose, documents, feedback, fusion, lexical, ranking
-from .plans.retrieve import LexicalIndex, answered, asked_phrases, hybrid, retrieved
-from .sources import raw_files
+from .operators import chunking, compose, conversion, documents, evaluation, feedback, fusion, lexical, models, ranking
+from .plans.retrieve import LexicalIndex, answered, asked_phrases, hybrid, retrieved, saved_index
+from .sources import discovery, raw_files
 from .sources.shared import shared_table
 from .streaming import limiter
 
@@ -212,13 +212,18 @@ def document_frequencies(spark, d):
     return f.withColumn("idf", F.round("idf", 6))
 
 
+def _index(spark, d) -> LexicalIndex:
+    """The documents' index, made once a version of the table and loaded by every query that needs it."""
+    return saved_index(spark, f"{d}/documents.parquet", _docs(spark, d), "doc_id", "text")
+
+
 @query
 def tfidf_weights(spark, d):
-    return LexicalIndex(_docs(spark, d), "doc_id", "text").weights.withColumn("weight", F.round("weight", 6))
+    return _index(spark, d).weights.withColumn("weight", F.round("weight", 6))
 
 
 def _search(spark, d, k):
-    index = LexicalIndex(_docs(spark, d), "doc_id", "text")
+    index = _index(spark, d)
     return index.search(table(spark, d, "check_cases").select("case_name", "question"), "case_name", "question", k)
 
 
@@ -234,7 +239,7 @@ def _found(spark, d, k):
 
 @query
 def conflict_flags(spark, d):
-    return compose.conflict_flag(_found(spark, d, 3), "case_name")
+    return compose.conflict_flag(_found(spark, d, 3), "case_name").select("case_name", "conflict")
 
 
 @query
@@ -252,7 +257,8 @@ def cited_sources(spark, d):
 @query
 def extractive_answers(spark, d):
     best = _found(spark, d, 1).select("case_name", "title", "text")
-    asked = table(spark, d, "check_cases").select("case_name", F.col("question").alias("sub_question"), F.lit(0).alias("part_no"), F.lit(False).alias("conflict"))
+    asked = table(spark, d, "check_cases").select("case_name", F.col("question").alias("sub_question"), F.lit(0).alias("part_no"))
+    asked = asked.join(compose.conflict_flag(_found(spark, d, 3), "case_name"), "case_name", "left")
     return compose.extractive_answers(asked.join(best, "case_name", "left"), "case_name")
 
 
@@ -286,11 +292,13 @@ def cosine_rank(spark, d):
 
 
 def _keyword(spark, d):
-    """Keyword scores between documents that stand for the vectors of the same ids."""
-    docs = _docs(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("vec_id"), "text")
-    index = LexicalIndex(docs, "vec_id", "text")
-    asked = index.weights.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    return lexical.scores(index.weights, asked, "vec_id", "query_id")
+    """Keyword scores between documents that stand for the vectors of the same ids; the statistics are
+    those of all documents."""
+    index = _index(spark, d)
+    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    kept = index.weights.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "vec_id")
+    asked = kept.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return lexical.scores(kept, asked, "vec_id", "query_id")
 
 
 @query
@@ -328,7 +336,7 @@ def answered_questions(spark, d):
     conflict notes, context and answers. There is no encoder, so hashed term vectors are the dense side."""
     docs = _docs(spark, d).select("doc_id", "text", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "source_url", "fetched")))
     asked = asked_phrases(table(spark, d, "check_cases"), "case_name", "question")
-    index = LexicalIndex(docs, "doc_id", "text")
+    index = _index(spark, d)
     terms = shared_table(index.weights, "weights")
     phrases = shared_table(index.asked(asked, "ask_id", "phrase"), "phrases")
     vectors = lexical.hashed_vectors(asked, phrases, "ask_id").select(F.col("ask_id").alias("doc_id"), "embedding")
@@ -340,17 +348,27 @@ def answered_questions(spark, d):
 # --- evaluation ---------------------------------------------------------------------------------
 
 
-def _matches(spark, d, k):
-    cases = table(spark, d, "check_cases").where("size(must) > 0").select("case_name", F.col("must")[0].alias("pattern"))
-    hit = F.regexp_like(text.ordinals_joined(F.col("text")), F.concat(F.lit("(?i)"), "pattern"))
-    return _found(spark, d, k).join(cases, "case_name").select("case_name", "rank", hit.alias("hit"))
+@query
+def first_match_ranks(spark, d):
+    found = _found(spark, d, 12).withColumn("part_no", F.lit(0))
+    return evaluation.passage_ranks(found, evaluation.answerable(table(spark, d, "check_cases"), "case_name"), "case_name")
+
+
+@query
+def answerable_cases(spark, d):
+    return evaluation.answerable(table(spark, d, "check_cases"), "case_name")
 
 
 @query
-def first_match_ranks(spark, d):
-    cases = table(spark, d, "check_cases").where("size(must) > 0").select("case_name")
-    first = _matches(spark, d, 12).where("hit").groupBy("case_name").agg(F.min("rank").alias("first_rank"))
-    return cases.join(first, "case_name", "left")
+def fact_ranks(spark, d):
+    return evaluation.fact_ranks(_found(spark, d, 20).drop("title"), evaluation.answerable(table(spark, d, "check_cases"), "case_name"), "case_name")
+
+
+@query
+def page_hits(spark, d):
+    """Whether one of the three best pages has a word of the question in its address."""
+    asked = table(spark, d, "check_cases").select("case_name", F.regexp_extract_all(F.lower("question"), F.lit("([a-z]{6,})"), F.lit(1)).alias("accepted"))
+    return evaluation.page_hits(_found(spark, d, 3), asked, "case_name")
 
 
 @query
@@ -360,11 +378,61 @@ def hit_rates(spark, d):
     return r.agg(F.count("*").alias("cases"), within(3).alias("top3"), within(7).alias("top7"), within(12).alias("top12"), F.round(within(3) / F.count("*"), 6).alias("hit_at_3"))
 
 
+def _replayed_cases(spark, d, answers):
+    """Cases with their answers; those whose name ends in 0 or 5 stand for calls that failed."""
+    failed = F.col("case_name").rlike("[05]$")
+    return table(spark, d, "check_cases").join(answers, "case_name").withColumn("mode", F.when(failed, "extractive (model call failed: 429)").otherwise("llm (replay)"))
+
+
+@query
+def check_summary(spark, d):
+    """Summary of the checks of the cases whose name holds 'case'."""
+    answers = extractive_answers(spark, d).withColumn("answer", text.plain_punctuation(F.col("answer")))
+    return evaluation.check_summary(evaluation.named(compose.answer_check(_replayed_cases(spark, d, answers)).withColumnRenamed("case_name", "name"), "name", "case"))
+
+
+@query
+def replayed_conversations(spark, d):
+    """Ratings of three neighbouring ids as one conversation."""
+    r = _ratings(spark, d).where("question is not null").select(F.floor(F.col("feedback_id") / 3).alias("conv"), "feedback_id", "question")
+    return evaluation.replayed(r, "conv", [F.col("feedback_id")], "question")
+
+
+@query
+def scored_rerank(spark, d):
+    """Pools of the dense order put in order by keyword scores, as by a scorer."""
+    ranked = ranking.exact_rank(_dense(spark, d), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()]).join(_items(spark, d), "vec_id").withColumn("contradicts", F.lit(False))
+    pool = fusion.capped_pool(ranked.drop("score"), "query_id", "source")
+    told = pool.join(_keyword(spark, d), ["query_id", "vec_id"], "left").withColumn("relevance", F.round(F.coalesce("score", F.lit(0.0)), 9)).drop("score")
+    return fusion.rerank(told, "query_id", "relevance", 12).select("query_id", "vec_id", "rank")
+
+
+@query
+def compound_context(spark, d):
+    """Context of three groups: the best three of a case, its seven, and seven of the case named next."""
+    found = _found(spark, d, 7)
+    following = table(spark, d, "check_cases").select("case_name").distinct()
+    names = following.withColumn("n", F.regexp_extract("case_name", r"(\d+)$", 1).cast("int"))
+    pair = names.join(names.select((F.col("n") - 1).alias("n"), F.col("case_name").alias("next_name")), "n").select("case_name", "next_name")
+    other = pair.join(found.withColumnRenamed("case_name", "next_name"), "next_name").drop("next_name").withColumn("group_no", F.lit(2))
+    own = found.withColumn("group_no", F.lit(1)).unionByName(found.where("rank <= 3").withColumn("group_no", F.lit(0)))
+    c = compose.context(own.unionByName(other.select(*own.columns)), "case_name")
+    return c.select("case_name", F.size("blocks").alias("blocks"), "chars", F.md5(F.array_join("blocks", "\n\n")).alias("context_md5"))
+
+
+@query
+def answer_prompts(spark, d):
+    """Prompts of all cases and their modes without a model."""
+    c = compose.context(_found(spark, d, 7).withColumn("group_no", F.lit(0)), "case_name").select("case_name", F.array_join("blocks", "\n\n").alias("context"))
+    asked = table(spark, d, "check_cases").join(c, "case_name", "left")
+    rows = asked.select("case_name", F.lit("-").alias("answer"), F.md5(models.answer_prompt(F.col("context"), F.col("question"))).alias("prompt_md5"))
+    return models.answered_by_model(rows, F.col("prompt_md5"), None).select("case_name", "prompt_md5", "mode")
+
+
 @query
 def answer_checks(spark, d):
     answers = extractive_answers(spark, d).withColumn("answer", text.plain_punctuation(F.col("answer")))
-    cases = table(spark, d, "check_cases").join(answers, "case_name").withColumn("mode", F.lit("llm (replay)"))
-    return compose.answer_check(cases).select("case_name", "passed", F.array_join("missing", "\n").alias("missing"), F.array_join("forbidden", "\n").alias("forbidden"))
+    return compose.answer_check(_replayed_cases(spark, d, answers)).select("case_name", "passed", F.array_join("missing", "\n").alias("missing"), F.array_join("forbidden", "\n").alias("forbidden"))
 
 
 @query
@@ -423,10 +491,69 @@ def run_summary(spark, d):
 
 @query
 def unprocessed_documents(spark, d):
-    return documents.to_do(documents.first_links(table(spark, d, "inventory")), table(spark, d, "ingest_status")).select("doc_key")
+    """What was open when the last year of runs began."""
+    status = table(spark, d, "ingest_status")
+    last = status.agg(F.date_trunc("year", F.max("run_at")).alias("last"))
+    before = status.join(F.broadcast(last), F.col("run_at") < F.col("last")).drop("last")
+    return documents.to_do(documents.first_links(table(spark, d, "inventory")), before).select("doc_key")
 
 
-_ROLL, _MAIL = r"\b(BT|MT|BA|MS|PH|MB|DT|PD)\s?\d{2}\s?[A-Z]{2,5}\s?[0-9O]{2,4}\b", r"@students\.[a-z]+\.example"
+@query
+def processed_counts(spark, d):
+    return documents.progress(table(spark, d, "inventory"), table(spark, d, "ingest_status"))
+
+
+@query
+def plan_listing(spark, d):
+    """The 25 newest convertible documents of each kind."""
+    rows = documents.by_priority(documents.convertible(documents.first_links(table(spark, d, "inventory")), _EXCLUDED))
+    return documents.plan_listing(rows, "kind", [F.col("newest").desc(), F.col("doc_key").asc()]).select("kind", "place", "doc_key", "in_group")
+
+
+def _anchor_pages(spark, d):
+    """Pages with the inventory's links as malformed HTML: crossed elements, attributes without quotes,
+    missing ends, fragments."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rows = table(spark, d, "inventory").where("found_on is not null and url is not null").select("found_on", "url", F.coalesce("link_text", F.lit("")).alias("said")).distinct()
+    listed = rows.groupBy("found_on").agg(F.array_sort(F.collect_list(F.struct("url", "said", F.concat(F.lit("<LI><p><b><A class=doc HREF='"), esc("url"), F.lit("#top'>\n "), esc("said"), F.lit("</b></A><br>")).alias("html")))).alias("a"))
+    page = F.concat(F.lit("<html><body><nav>Menu<ul><li>Home</nav><h1>Documents</H1><ul>"), F.array_join(F.transform("a", lambda x: x["html"]), "\n"), F.lit("</ul><a>no address</a><p>End"))
+    return listed.select(F.col("found_on").alias("url"), page.alias("html"))
+
+
+@query
+def discovered_links(spark, d):
+    found = discovery.discovered(discovery.page_links(_anchor_pages(spark, d)), discovery.host(F.col("page")), "[a-z0-9.-]+/drive")
+    return found.select("doc_key", "kind", "url", "link_text", "found_on")
+
+
+@query
+def enriched_documents(spark, d):
+    first = documents.first_links(table(spark, d, "inventory"))
+    told = first.where("kind = 'drive'").select("drive_id", "doc_name", "mime_type", "size_bytes", "modified_time", "error_text").dropDuplicates(["drive_id"])
+    return discovery.enriched(first.select("doc_key", "kind", "drive_id", "url"), told).select("doc_key", "doc_name", "mime_type", "modified_time", "error_text")
+
+
+@query
+def known_urls(spark, d):
+    """Addresses of the saved pages, and pages of the inventory that aren't among them."""
+    files = table(spark, d, "raw_files").select("file", F.concat(F.lit("SOURCE_URL: "), F.coalesce("source_url", F.lit("")), F.lit("\n---\n")).alias("value"))
+    extra = table(spark, d, "inventory").where("found_on <> ''").select(F.regexp_replace("found_on", "/+$", "").alias("url"))
+    return discovery.known_urls(files, extra)
+
+
+def _document_items(spark, d):
+    """Lines of document files as items: short ones without a closing mark are headings."""
+    rows = table(spark, d, "raw_files").where("file like 'doc\\_%' and body is not null").select(F.col("file").alias("doc"), F.posexplode(F.split("body", "\n")).alias("item_no", "text"))
+    heading = (text.word_count(F.col("text")) <= 6) & ~F.col("text").rlike("[.!?:;,]\\s*$")
+    return rows.select("doc", "item_no", F.when(heading, "section").otherwise("text").alias("kind"), "text", F.lit(None).cast("array<string>").alias("headers"), F.lit(None).cast("array<array<string>>").alias("cells"))
+
+
+@query
+def carried_context(spark, d):
+    return conversion.carried_context(_document_items(spark, d)).select("doc", "item_no", F.coalesce("section", F.lit("")).alias("section"), F.coalesce("lead", F.lit("")).alias("lead"))
+
+
+_ROLL, _MAIL = r"(?i)\b(BT|MT|BA|MS|PH|MB|DT|PD)\s?\d{2}\s?[A-Z]{2,5}\s?[0-9O]{2,4}\b", r"(?i)@students\.[a-z]+\.example"
 
 
 @query
@@ -438,12 +565,25 @@ def dispositions(spark, d):
 @query
 def snapshot_changes(spark, d):
     """First against last saved body of every address."""
-    files = table(spark, d, "raw_files").where("source_url is not null and source_url <> ''").select("source_url", "file", "body", "stale", F.coalesce("fetched", F.lit("")).alias("fetched"))
+    stored, fetched = _snapshots(spark, d)
+    return documents.snapshot_diff(stored, fetched, "source_url")
+
+
+@query
+def refreshed_pages(spark, d):
+    """The first saved pages after a visit that found the last saved ones."""
+    stored, fetched = _snapshots(spark, d)
+    kept = documents.refreshed(stored, documents.snapshot_diff(stored, fetched, "source_url"), fetched, "source_url", F.lit("2026-01-31").cast("date"))
+    return kept.select("source_url", F.md5(F.coalesce("body", F.lit(""))).alias("body_md5"), F.coalesce("title", F.lit("")).alias("title"), "fetched", "stale")
+
+
+def _snapshots(spark, d):
+    files = table(spark, d, "raw_files").where("source_url is not null and source_url <> ''").select("source_url", "file", "body", "stale", "title", F.coalesce("fetched", F.lit("")).alias("fetched"))
     order = [F.col("fetched"), F.col("file")]
     stored = ranking.first_seen(files, ["source_url"], [c.asc() for c in order])
     last = ranking.first_seen(files, ["source_url"], [c.desc() for c in order])
-    fetched = last.select("source_url", "body", F.col("file").startswith("doc_").__invert__().alias("html"), F.col("stale").isNull().alias("reachable"))
-    return documents.snapshot_diff(stored, fetched, "source_url")
+    fetched = last.select("source_url", "body", "title", F.col("file").startswith("doc_").__invert__().alias("html"), F.col("stale").isNull().alias("reachable"))
+    return stored, fetched
 
 
 @query
@@ -480,7 +620,7 @@ def attempt_counts(spark, d):
 
 @query
 def rate_limited(spark, d):
-    """Accepted and refused events of each user under small limits (a fold; no SQL)."""
+    """Accepted and refused events of each user under small limits (a fold)."""
     return limiter.limited_batch(table(spark, d, "events"), "user_id", "ts", "event_id", per_minute=1, per_day=3)
 
 

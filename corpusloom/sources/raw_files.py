@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.ranking import first_seen
 
 CHUNK_SCHEMA = "id string, text string, source_url string, title string, fetched string, file string"
 FEEDBACK_SCHEMA = "at string, rating string, question string, answer string, mode string, comment string"
@@ -23,11 +27,12 @@ def header_and_body(c: Column) -> tuple[Column, Column]:
 
 
 def read_raw_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, source_url, title, fetched, found_on, stale, body) of whole text files."""
+    """(file, source_url, title, fetched, found_on, stale, body) of whole text files, by file name."""
     raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
     head, body = header_and_body(F.col("value"))
     rows = raw.select("file", head.alias("head"), body.alias("body"))
-    return rows.select("file", *(F.try_element_at("head", F.lit(k)).alias(k) for k in ("source_url", "title", "fetched", "found_on", "stale")), "body")
+    rows = rows.select("file", *(F.try_element_at("head", F.lit(k)).alias(k) for k in ("source_url", "title", "fetched", "found_on", "stale")), "body")
+    return rows.orderBy("file")
 
 
 def write_raw_files(pages: DataFrame, path: str) -> None:
@@ -52,10 +57,56 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """Ratings from JSON lines; lines that don't parse are dropped, blank ones too."""
-    return spark.read.schema(FEEDBACK_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """Ratings from JSON lines; lines that don't parse are dropped, blank ones too; none without a file."""
+    return read_or_empty(spark, path, FEEDBACK_SCHEMA)
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of files that begin like a PDF."""
     return spark.read.format("binaryFile").load(path).where(F.expr("startswith(content, X'25504446')")).select("path", "content")
+
+
+def write_latest(rows: DataFrame, path: str) -> None:
+    """A run's rows added to a JSON-lines table (inventory, status, check results); readers take the last
+    row of a key, so a run that is broken off loses nothing that was written."""
+    rows.write.mode("append").json(path)
+
+
+def read_latest(spark: SparkSession, path: str, schema: str, key: str, at: str) -> DataFrame:
+    """The last row of every key of a table that runs were added to; no rows where there is none yet."""
+    rows = read_or_empty(spark, path, schema).where(F.col(key).isNotNull())
+    return first_seen(rows, [key], [F.col(at).desc_nulls_last()])
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines, or no rows where nothing has been written; lines that don't parse are dropped."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_converted(files: DataFrame, path: str) -> None:
+    """Converted documents (file, value) as a table, by file name."""
+    files.select("file", "value").write.mode("append").parquet(path)
+
+
+def fetched_pdfs(urls: DataFrame, fetch: Callable[[str], bytes], cached: DataFrame, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
+    """(url, content, error) of PDFs: cached content (url, content) wins; what is fetched must begin like
+    a PDF and not exceed the size; a failure is a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for u in b["url"]:
+                try:
+                    body = fetch(u)
+                    error = "too large" if len(body) > max_bytes else None if body[:4] == b"%PDF" else "not a PDF"
+                    rows.append((u, None if error else body, error))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((u, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(rows, columns=["url", "content", "error"])
+
+    have = cached.select("url", "content", F.lit(None).cast("string").alias("error"))
+    new = urls.select("url").distinct().join(cached.select("url"), "url", "left_anti").mapInPandas(run, "url string, content binary, error string")
+    return urls.select("url").distinct().join(have, "url").unionByName(new)
