@@ -33,10 +33,14 @@ def host_of(url: Column) -> Column:
     return F.when(h == "", None).otherwise(h)
 
 
+def h64b(b: bytes | str) -> int:
+    x = xxhash.xxh3_64_intdigest(b)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def h64(s: str | None) -> int:
     """Signed 64-bit hash of a string, the same in every process."""
-    x = xxhash.xxh3_64_intdigest(s or "")
-    return x - (1 << 64) if x >> 63 else x
+    return h64b(s or "")
 
 
 RUNS = re.compile("[ \t\r\n\u00a0]+")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import h64, host_of, materialize, once
+from .common import h64, h64b, host_of, materialize, once
 from .mojibake import readings
 
 MIN_PAGES = 4
@@ -55,8 +55,6 @@ _DIGITS = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _SEPS = re.compile(r"\s*[|·»›>•/\ufffd]\s*|\s{2,}|\t")
 _SPLIT_HINT = re.compile(r"[|·»>•/\ufffd]|\S\s{2,}\S")
 
-_NO_DIGITS = {ord(c): None for c in "0123456789"}
-
 BLANK, SENTENCE, NUMBERED, DASHED, ROW, LIST, TITLE, LONG = (1 << k for k in range(8))
 _NUMBERED = re.compile(r"^\d{1,3}[.)]\s")
 _ROW = re.compile(r"\s\d+\s+\d+\D{0,2}$|^\d+\s*(?:\||\s\s)|\|\s*\d")
@@ -74,13 +72,15 @@ def skeleton(line: str, host: str | None) -> str:
 
 
 def flags(line: str) -> int:
+    if line.count(" ") > LONG_LINE and len(line.split()) > LONG_LINE:  # nothing else is asked about it
+        s = line.strip(" \t\r\u00a0")
+        start = NUMBERED if _NUMBERED.match(s) else DASHED if s.startswith(("- ", "– ")) else 0
+        return LONG | start | (SENTENCE if s[-1] in ".!?।…”" else 0)
     s = _SPACE.sub(" ", line).strip(" ")
     if not s:
         return BLANK
     words = s.split(" ")
     f = 0
-    if len(words) > LONG_LINE:
-        f |= LONG
     if s[-1] in ".!?।…”" and len(words) >= 5:
         f |= SENTENCE
     if _NUMBERED.match(s):
@@ -100,7 +100,7 @@ def line_record(line: str, host: str | None) -> tuple[int, int, int, int, int, l
     if f & BLANK:
         return f, 0, 0, 0, 0, []
     if f & LONG and not _SPLIT_HINT.search(line):  # no slots but digits: cheap, as most text is in such lines
-        return f, h64(" ".join(line.lower().translate(_NO_DIGITS).split())), 0, 0, 0, []
+        return f, h64b(b" ".join(line.lower().encode().translate(None, b"0123456789").split())), 0, 0, 0, []
     s = skeleton(line, host)
     w = s.split(" ")
     one = h64("1 " + w[0]) if len(w) > 1 and (w[0].endswith(":") or not w[0][0].isalnum()) and w[0] not in ("-", "–") else 0
