@@ -44,7 +44,7 @@ def write_raw_files(pages: DataFrame, path: str) -> None:
 
 def source_urls(files: DataFrame, text: str = "value") -> DataFrame:
     """Addresses in the headers of raw texts, without a trailing slash."""
-    u = F.regexp_extract(text, r"(?m)^SOURCE_URL:\s*(\S+)", 1)
+    u = F.regexp_extract(text, r"(?m)^SOURCE_URL:[ \t]*(\S+)", 1)
     return files.select(F.regexp_replace(u, "/+$", "").alias("url")).where("url <> ''").distinct()
 
 
