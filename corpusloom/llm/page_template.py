@@ -134,14 +134,21 @@ def legible(text: str) -> str:
 _HIGH = re.compile("[^\x00-\x7f]{2,}")
 
 
+_FIELDS = ("f", "full", "two", "one", "close")
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    line = pa.struct([("f", pa.int16()), ("full", pa.int64()), ("two", pa.int64()), ("one", pa.int64()), ("close", pa.int64()), ("items", pa.list_(pa.int64()))])
     for b in batches:
-        d = b.to_pydict()
-        out = []
-        for host, text in zip(d["host"], d["text"]):
-            out.append([dict(zip(("f", "full", "two", "one", "close", "items"), line_record(x, host))) for x in legible(text).split("\n")])
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("doc"), pa.array(out, pa.list_(line))], ["id", "host", "doc", "lines"])
+        flat: list[tuple] = []
+        stops = [0]
+        for host, text in zip(b.column("host").to_pylist(), b.column("text").to_pylist()):
+            flat += [line_record(x, host) for x in legible(text).split("\n")]
+            stops.append(len(flat))
+        cols = list(zip(*flat)) or [()] * 6
+        ints = [pa.array(c, pa.int16() if k == 0 else pa.int64()) for k, c in enumerate(cols[:5])]
+        line = pa.StructArray.from_arrays([*ints, pa.array(cols[5], pa.list_(pa.int64()))], [*_FIELDS, "items"])
+        lines = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), line)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("doc"), lines], ["id", "host", "doc", "lines"])
 
 
 _REC = "id string, host string, doc boolean, lines array<struct<f:smallint,full:bigint,two:bigint,one:bigint,close:bigint,items:array<bigint>>>"
@@ -212,21 +219,21 @@ def host_classes(records: DataFrame) -> DataFrame:
     return valid.select("host", F.col("key").alias("full")).distinct()
 
 
-def template_lines(lines: list[dict], shared: frozenset[int], own: set[int]) -> list[int]:
-    """Line numbers that belong to the template of a page."""
-    n = len(lines)
+def template_lines(f: list[int], full: list[int], two: list[int], one: list[int], close: list[int], items: list[list[int]], shared: frozenset[int], own: set[int]) -> list[int]:
+    """Line numbers that belong to the template of a page, given as columns of its lines."""
+    n = len(f)
     hit = [False] * n
     body = NUMBERED | DASHED | ROW
-    for k, l in enumerate(lines):
-        f = l["f"]
-        if f & BLANK:
+    for k in range(n):
+        g = f[k]
+        if g & BLANK:
             continue
-        if l["full"] in shared or k in own and not f & body:
+        if full[k] in shared or k in own and not g & body:
             hit[k] = True
-        elif l["items"] and not f & SENTENCE:
-            known = sum(i in shared for i in l["items"])
-            hit[k] = known >= 2 and known >= 0.5 * len(l["items"]) or l["one"] in shared or l["two"] in shared and not f & body
-        elif not f & body and (l["one"] in shared or l["two"] in shared or l["close"] in shared and not f & SENTENCE):
+        elif items[k] and not g & SENTENCE:
+            known = sum(i in shared for i in items[k])
+            hit[k] = known >= 2 and known >= 0.5 * len(items[k]) or one[k] in shared or two[k] in shared and not g & body
+        elif not g & body and (one[k] in shared or two[k] in shared or close[k] in shared and not g & SENTENCE):
             hit[k] = True
     # slots: titles between or right after pieces of a list
     k = 0
@@ -235,10 +242,10 @@ def template_lines(lines: list[dict], shared: frozenset[int], own: set[int]) ->
             k += 1
             continue
         j = k + 1
-        while j < n and (lines[j]["f"] & BLANK or not hit[j] and lines[j]["f"] & TITLE and not lines[j]["f"] & (body | SENTENCE)):
+        while j < n and (f[j] & BLANK or not hit[j] and f[j] & TITLE and not f[j] & (body | SENTENCE)):
             j += 1
-        gap = [i for i in range(k + 1, j) if not lines[i]["f"] & BLANK]
-        if gap and (j < n and hit[j] or j == n) and lines[k]["f"] & TITLE:
+        gap = [i for i in range(k + 1, j) if not f[i] & BLANK]
+        if gap and (j < n and hit[j] or j == n) and f[k] & TITLE:
             for i in gap:
                 hit[i] = True
         k = j
@@ -249,8 +256,14 @@ def _decide(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, nos = [], []
-            for i, lines, own, known in zip(*(b.column(c).to_pylist() for c in ("id", "lines", "own", "known"))):
-                for k in template_lines(lines, frozenset(known) if known else shared.value, set(own or ())):
+            keys = shared.value
+            lines = b.column("lines")
+            at = lines.offsets.to_pylist()
+            line = lines.values
+            cols = [line.field(c).to_pylist() for c in (*_FIELDS, "items")]
+            for r, (i, own, known) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "own", "known")))):
+                lo, hi = at[r], at[r + 1]
+                for k in template_lines(*(c[lo:hi] for c in cols), frozenset(known) if known else keys, set(own or ())):
                     ids.append(i)
                     nos.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nos, pa.int32())], ["id", "line_no"])
