@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import strip
 
@@ -34,10 +35,13 @@ def modes(ratings: DataFrame) -> DataFrame:
 
 
 def attempts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Attempts of a key in the last ``seconds`` up to and with each event. The frame is a range over
-    epoch microseconds of its key."""
-    from pyspark.sql.window import Window
-
+    """Attempts of a key in the last ``seconds`` up to and with each event. A key's time is cut into
+    buckets of that length and every event also stands in the bucket after its own, so a frame never
+    reaches beyond its bucket and a hot key spreads over as many tasks as it has buckets."""
+    span = seconds * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("_us", us).withColumn("attempts", F.count("*").over(w)).drop("_us")
+    own = F.floor(F.col("_us") / span)
+    twice = F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))
+    rows = events.withColumn("_us", us).withColumn("_in", twice)
+    w = Window.partitionBy(key, "_in.b").orderBy("_us").rangeBetween(-(span - 1), 0)
+    return rows.withColumn("attempts", F.count("*").over(w)).where("_in.own").drop("_us", "_in")

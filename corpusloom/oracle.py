@@ -1,13 +1,49 @@
-"""SQL counterparts of the core queries, written from the definitions for another engine."""
+"""SQL counterparts of the core queries, written from the definitions for another engine. Patterns and
+word lists are written out here as the definitions give them, not taken from the code that is compared."""
 
 from __future__ import annotations
 
-from .functions import attributes as A
-from .functions import questions as Q
-from .functions.text import DROPPED, PUNCTUATION, WS
-from .operators.documents import SKIP_PATHS, STATIC_FILES
-from .operators.lexical import STOP_WORDS
-from .operators.models import ANSWER_PROMPT
+# Patterns, word lists and sentences of the definitions.
+WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+PUNCTUATION = {
+    '\u2010': '-', '\u2011': '-', '\u2012': '-', '\u2013': '-', '\u2014': '-', '\u2212': '-', '\u202f': ' ',
+    '\xa0': ' ', '\u2009': ' ', '\u2018': "'", '\u2019': "'", '\u201c': '"', '\u201d': '"',
+}
+DROPPED = '\u200b'
+PROGRAMMES = {
+    r"barch": r"b\.?\s*arch|bachelor\s+of\s+architecture",
+    r"btech": r"b\.?\s*tech|bachelor\s+of\s+technology",
+    r"mba": r"\bmba\b|master\s+of\s+business",
+    r"msc": r"m\.?\s*sc\b|master\s+of\s+science",
+    r"mtech": r"m\.?\s*tech|master\s+of\s+technology",
+    r"phd": r"ph\.?\s*d\b|doctor\s+of\s+philosophy",
+}
+LEVELS = {
+    r"\bug\b|under[\s-]?graduate": ("btech", "barch"),
+    r"\bpg\b|post[\s-]?graduate": ("mtech", "msc", "mba", "phd"),
+}
+GENDERS = {
+    r"boys": r"\bboys?\b|\bmen\b|\bmale\b|\bgents\b",
+    r"girls": r"\bgirls?\b|\bwomen\b|\bfemale\b|\bladies\b",
+}
+YEAR = r"\b(20\d{2})\s*[-–/]\s*(20\d{2}|\d{2})\b"
+SPLIT = r"(?i)\s+\band\b\s+|\s*;\s*"
+PRONOUN = r"(?i)\b(it|this|that|they|them|its|their)\b"
+LEADING = r"(?i)^(tell me about|what is|what are|what's|when was|when is|when did|where is|where can i find|who is|who are|explain|describe|give me information (on|about)|information (on|about))\s+"
+CONNECTIVE = r"(?i)^(and|also|but|so)\b|^(what|how)\s+about\b|^(and\s+)?(for|in|at|on)\b"
+REFERENCE = r"(?i)\b(it|its|this|that|these|those|they|them|their|there|same)\b"
+SUBJECT = r"(?i)\b(fee|fees|hostel|scholarship|exam|exams|calendar|admission|placement|director|registrar|dean|library|department|b\.?tech|m\.?tech|b\.?arch|phd|mba|course|semester)\b"
+SKIP_PATHS = (r"/wp-admin", r"/wp-login", r"/feed/?$", r"/tag/", r"/page/\d+", r"e-samarth", r"eoffice", r"webmail", r"/index\.php/", r"/category/")
+STATIC_FILES = r"(?i)\.(jpg|jpeg|png|gif|svg|zip|docx?|xlsx?|pptx?|pdf)$"
+STOP_WORDS = (
+    "a about after all also an and any are as at be been before but by can could did do does for from had has have he her his how if in into is it its"
+    " may more most no not of on one or other our out over she should so some such than that the their them then there these they this those to under"
+    " up was we were what when where which who will with would you your"
+).split()
+ANSWER_PROMPT = (
+    "Answer the student's question using ONLY the passages below. Cite the source title for every claim. If the passages don't cover part of the question, say so plainly instead of guessing.\n"
+    'If a figure applies only to a particular group or year, say which group it applies to. If passages are dated documents that disagree, prefer the most recent one and mention its date.\n\n'
+)
 
 
 def _lit(s: str) -> str:
@@ -89,19 +125,19 @@ def _tags(found: dict[str, str]) -> str:
 
 
 def _programmes(x: str) -> str:
-    cond = {t: f"regexp_matches(lower({x}), {_lit(p)})" for t, p in A.PROGRAMMES.items()}
-    for p, members in A.LEVELS.items():
+    cond = {t: f"regexp_matches(lower({x}), {_lit(p)})" for t, p in PROGRAMMES.items()}
+    for p, members in LEVELS.items():
         for t in members:
             cond[t] = f"({cond[t]} OR regexp_matches(lower({x}), {_lit(p)}))"
     return _tags(cond)
 
 
 def _genders(x: str) -> str:
-    return _tags({t: f"regexp_matches(lower({x}), {_lit(p)})" for t, p in A.GENDERS.items()})
+    return _tags({t: f"regexp_matches(lower({x}), {_lit(p)})" for t, p in GENDERS.items()})
 
 
 def _years(x: str) -> str:
-    y = _lit(A.YEAR)
+    y = _lit(YEAR)
     return f"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({x}, {y}), lambda m: regexp_extract(m, {y}, 1) || '-' || right(regexp_extract(m, {y}, 2), 2)))), ',')"
 
 
@@ -126,7 +162,7 @@ def _bare(x: str) -> str:
 def _followup(x: str) -> str:
     t = _bare(strip(x))
     return (
-        f"CASE WHEN {t} = '' OR len({words(t)}) > 12 THEN false ELSE regexp_matches({t}, {_lit(Q.CONNECTIVE)}) OR (regexp_matches({t}, {_lit(Q.REFERENCE)}) AND NOT regexp_matches({t}, {_lit(Q.SUBJECT)})) END"
+        f"CASE WHEN {t} = '' OR len({words(t)}) > 12 THEN false ELSE regexp_matches({t}, {_lit(CONNECTIVE)}) OR (regexp_matches({t}, {_lit(REFERENCE)}) AND NOT regexp_matches({t}, {_lit(SUBJECT)})) END"
     )
 
 
@@ -138,18 +174,18 @@ SELECT feedback_id, needs AS combined, CASE WHEN NOT needs THEN question WHEN co
 _PRON = "it|this|that|they|them|its|their"
 _NEXT = "kept[i + 1]"
 _SAID = (
-    f"CASE WHEN i > 0 AND regexp_matches({_NEXT}, {_lit(Q.PRONOUN)}) THEN regexp_extract({_NEXT}, '(?is)^(.*?)\\b(?:{_PRON})\\b', 1) || topic || "
-    f"substr({_NEXT}, length(regexp_extract({_NEXT}, '(?is)^(.*?)\\b(?:{_PRON})\\b', 1)) + length(regexp_extract({_NEXT}, {_lit(Q.PRONOUN)}, 1)) + 1) ELSE {_NEXT} END"
+    f"CASE WHEN i > 0 AND regexp_matches({_NEXT}, {_lit(PRONOUN)}) THEN regexp_extract({_NEXT}, '(?is)^(.*?)\\b(?:{_PRON})\\b', 1) || topic || "
+    f"substr({_NEXT}, length(regexp_extract({_NEXT}, '(?is)^(.*?)\\b(?:{_PRON})\\b', 1)) + length(regexp_extract({_NEXT}, {_lit(PRONOUN)}, 1)) + 1) ELSE {_NEXT} END"
 )
 
 
 def _topic(x: str) -> str:
-    t = strip(f"regexp_replace({strip(x)}, {_lit(Q.LEADING)}, '')")
+    t = strip(f"regexp_replace({strip(x)}, {_lit(LEADING)}, '')")
     return f"coalesce(nullif({t}, ''), {strip(x)})"
 
 
 SQL["decomposed_questions"] = f"""WITH RECURSIVE {_RATINGS}, w AS (SELECT feedback_id, {strip('question')} AS whole FROM r WHERE question IS NOT NULL),
-p AS (SELECT *, list_filter(list_transform(string_split_regex({_bare('whole')}, {_lit(Q.SPLIT)}), lambda x: {strip('x')}), lambda x: x <> '') AS parts FROM w),
+p AS (SELECT *, list_filter(list_transform(string_split_regex({_bare('whole')}, {_lit(SPLIT)}), lambda x: {strip('x')}), lambda x: x <> '') AS parts FROM w),
 k AS (SELECT *, list_filter(parts, lambda x: len({words('x')}) >= 3) AS kept FROM p),
 f AS (SELECT feedback_id, whole, kept, 0 AS i, '' AS topic, []::VARCHAR[] AS out FROM k WHERE len(parts) >= 2 AND len(kept) >= 2
   UNION ALL SELECT feedback_id, whole, kept, i + 1, {_topic('said')}, list_append(out, said) FROM (SELECT *, {_SAID} AS said FROM f WHERE i < len(kept))),
@@ -287,7 +323,7 @@ _CUT = "CASE WHEN length(text) > 1000 THEN regexp_replace(left(text, 1000), '(?s
 _SNIPPET = strip("array_to_string(string_split(regexp_replace(" + strip("text") + ", '([.!?])" + WS + "+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ')")
 SQL["answered_questions"] = f"""WITH RECURSIVE docs AS (SELECT doc_id, text, coalesce(title, '') AS title, coalesce(source_url, '') AS source_url, coalesce(fetched, '') AS fetched FROM documents WHERE text IS NOT NULL),
 w AS (SELECT case_name, question, {strip('question')} AS whole FROM check_cases WHERE question IS NOT NULL),
-p AS (SELECT *, list_filter(list_transform(string_split_regex({_bare('whole')}, {_lit(Q.SPLIT)}), lambda x: {strip('x')}), lambda x: x <> '') AS parts FROM w),
+p AS (SELECT *, list_filter(list_transform(string_split_regex({_bare('whole')}, {_lit(SPLIT)}), lambda x: {strip('x')}), lambda x: x <> '') AS parts FROM w),
 k AS (SELECT *, list_filter(parts, lambda x: len({words('x')}) >= 3) AS kept FROM p),
 f AS (SELECT case_name, question, whole, kept, 0 AS i, '' AS topic, []::VARCHAR[] AS out FROM k WHERE len(parts) >= 2 AND len(kept) >= 2
   UNION ALL SELECT case_name, question, whole, kept, i + 1, {_topic('said')}, list_append(out, said) FROM (SELECT *, {_SAID} AS said FROM f WHERE i < len(kept))),

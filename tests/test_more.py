@@ -237,3 +237,47 @@ def test_index_is_saved_and_made_anew_for_new_data(spark, tmp_path):
     assert norms and all(abs(x - 1) < 1e-9 for x in norms.values())
     spark.createDataFrame([(6, "hostel fee")], "doc_id bigint, text string").write.mode("append").parquet(path)
     assert 6 in {r.doc_id for r in saved_index(spark, path, read(), "doc_id", "text").search(ask, "name", "question", 9).collect()}
+
+
+# --- crawl
+
+SITE = {
+    "http://a.example": "<a href='/one/'>1</a><a href=/two>2</a><a href=/skip/x>s</a><main>short</main>",
+    "http://a.example/one": "<h1>One</h1><main>" + "word " * 40 + "<a href='/three?x=1#y'>3</a></main>",
+    "http://a.example/two": "<h1>Two</h1><main>" + "text " * 31 + "</main><a href='http://b.example/'>b</a>",
+    "http://a.example/three": "<main>" + "deep " * 50 + "<a href=/four>4</a></main>",
+}
+
+
+def fetch_site(url):
+    if url not in SITE:
+        raise OSError("not there")
+    return 200, "text/html; charset=utf-8", SITE[url].encode()
+
+
+def test_crawl_of_a_site(spark):
+    from corpusloom.sources.crawl import crawl, fetched_pages
+
+    seeds = spark.createDataFrame([("http://a.example/",), (None,)], "url string").where("url is not null")
+    out = {r.url.removeprefix("http://a.example"): (r.depth, r.outcome) for r in crawl(seeds, fetch_site, "a.example", ("/skip/",)).collect()}
+    assert out == {"": (0, "short"), "/one": (1, "saved"), "/two": (1, "saved"), "/skip/x": (1, "pattern"), "/three": (2, "saved"), "/four": (3, "error: OSError: not there")}
+    few = {r.url: r.outcome for r in crawl(seeds, fetch_site, "a.example", ("/skip/",), max_pages=1).collect()}
+    assert few["http://a.example/one"] == "saved" and few["http://a.example/two"] == "beyond the limit" and len(few) == 4
+    seen = spark.createDataFrame([("http://a.example/one/",)], "url string")
+    assert "/three" not in "".join(r.url for r in crawl(seeds, fetch_site, "a.example", visited=seen).collect())
+    assert crawl(seeds, fetch_site, "a.example", visited=seeds).count() == 0
+    robots = spark.createDataFrame([("a.example", "User-agent: *\nDisallow: /one")], "host string, robots string")
+    got = {r.url: r.outcome for r in fetched_pages(spark.createDataFrame([("http://a.example/one",), ("http://a.example/two",)], "url string"), fetch_site, robots).collect()}
+    assert got == {"http://a.example/one": "robots", "http://a.example/two": "ok"}
+
+
+def test_attempts_across_buckets(spark):
+    from corpusloom.operators.feedback import attempts
+
+    import random
+
+    rnd = random.Random(1)
+    ts = sorted(rnd.randrange(0, 40_000) for _ in range(120))
+    df = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(ts)], "event_id int, user_id int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    out = {r.event_id: r.attempts for r in attempts(df, "user_id", "ts", 3600).collect()}
+    assert out == {i: sum(1 for j, u in enumerate(ts) if j % 2 == i % 2 and t - 3600 < u <= t) for i, t in enumerate(ts)}
