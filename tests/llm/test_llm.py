@@ -176,6 +176,30 @@ def test_long_runs_of_one_anchor_meet_in_blocks(spark, monkeypatch):
     assert found == set(brute_pairs(rows, 0.6)) and found
 
 
+def test_a_hot_anchor_is_never_held(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_copies, "RUN", 64)
+    n = 10_000
+    anchor = np.concatenate([np.full(5, 1), np.full(n, 2), np.full(3, 3)])
+    key, code = np.arange(len(anchor)), np.zeros(len(anchor), np.int64)
+    cols = [pa.array(x) for x in (anchor, key, code)]
+    whole = pa.RecordBatch.from_arrays(cols, ["anchor", "key", "code"])
+    out = list(near_copies._runs(whole.slice(lo, 1000) for lo in range(0, len(anchor), 1000)))
+    passed = [b for b in out if b.column("b").null_count == b.num_rows and b.num_rows]
+    assert max(b.num_rows for b in passed) <= 2 * 64 and sum(b.num_rows for b in passed) == n
+    assert sum(b.num_rows for b in out) - n == 5 * 4 // 2 + 3  # pairs of the two short runs
+
+
+def test_blocks_of_a_hot_anchor_give_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "RUN", 10)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(f"r{i:02}", edited(rnd, base, 2), "") for i in range(60)]
+    assert set(got(near_copies.near_copies(chunks(spark, [(i, t, "u", ti) for i, t, ti in rows])))) == set(brute_pairs(rows, 0.6))
+
+
 # --- 3
 
 
@@ -484,6 +508,15 @@ def test_packing_splits_nothing_and_wastes_little(spark):
     assert {r.limit_id for r in out} == {1, 2} and packing.pack_documents(docs.limit(0), limits).collect() == []
 
 
+def test_ranks_of_one_size_spread_over_salts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "same size here", None) for i in range(300)], DOCS)
+    limits = spark.createDataFrame([(1, 30, "byte_bpe_50k")], "limit_id int, capacity_tokens int, tokenizer string")
+    want = len({r.container_id for r in packing.pack_documents(docs, limits).collect()})
+    monkeypatch.setattr(packing, "ROWS_PER_SALT", 7)
+    out = packing.pack_documents(docs, limits).collect()
+    assert len(out) == 300 and len({r.container_id for r in out}) == want and max(Counter(r.container_id for r in out).values()) * out[0].tokens <= 30
+
+
 # --- 10
 
 
