@@ -249,15 +249,21 @@ SITE = {
 }
 
 
-def fetch_site(url):
-    if url not in SITE:
-        raise OSError("not there")
-    return 200, "text/html; charset=utf-8", SITE[url].encode()
+def site_fetcher():
+    site = SITE  # the workers don't know this module
+
+    def fetch(url):
+        if url not in site:
+            raise OSError("not there")
+        return 200, "text/html; charset=utf-8", site[url].encode()
+
+    return fetch
 
 
 def test_crawl_of_a_site(spark):
     from corpusloom.sources.crawl import crawl, fetched_pages
 
+    fetch_site = site_fetcher()
     seeds = spark.createDataFrame([("http://a.example/",), (None,)], "url string").where("url is not null")
     out = {r.url.removeprefix("http://a.example"): (r.depth, r.outcome) for r in crawl(seeds, fetch_site, "a.example", ("/skip/",)).collect()}
     assert out == {"": (0, "short"), "/one": (1, "saved"), "/two": (1, "saved"), "/skip/x": (1, "pattern"), "/three": (2, "saved"), "/four": (3, "error: OSError: not there")}
