@@ -81,16 +81,15 @@ def with_lookup(rows: DataFrame, text: str, table: DataFrame, keys: Callable[[st
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).to_pylist():
-                k = sorted(set(keys(t))) if t else ()
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array([h64(t)] * len(k), pa.int64()), pa.array(k, pa.string())], ["h", "key"])
+            pairs = [(h64(t), k) for t in b.column(0).to_pylist() if t for k in set(keys(t))]
+            cols = list(zip(*pairs)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], ["h", "key"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([h64(t) for t in b.column(text).to_pylist()], pa.int64())], [*b.schema.names, "h"])
 
-    found = rows.select(text).distinct().mapInArrow(asked, "h bigint, key string").distinct().join(table, "key")
+    found = rows.select(text).mapInArrow(asked, "h bigint, key string").distinct().join(table, "key")  # no text is shuffled for it
     held = found.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("held"))
     marked = rows.mapInArrow(hashed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", h bigint")
     return marked.join(held, "h", "left").drop("h"), {}
