@@ -306,7 +306,6 @@ pp AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY kept DES
 SQL["scored_rerank"] = f"""WITH {_DENSE}, {_KEY}, {_pool('dr', 'false', 'rank')},
 sr AS (SELECT pp.query_id, pp.vec_id, CAST(row_number() OVER (PARTITION BY pp.query_id ORDER BY round(coalesce(score, 0), 9) DESC, pool_pos) AS INTEGER) AS rank FROM pp LEFT JOIN ks ON ks.query_id = pp.query_id AND ks.vec_id = pp.vec_id WHERE pool_pos <= 60)
 SELECT query_id, vec_id, rank FROM sr WHERE rank <= 12"""
-SQL["capped_pool"] = f"WITH {_DENSE}, {_pool('dr', 'vec_id % 7 = 0', 'rank')} SELECT query_id, vec_id, kept, pool_pos FROM pp WHERE pool_pos <= 60"
 SQL["hybrid_retrieve"] = f"""WITH {_FUSE}, fr AS (SELECT fu.*, label, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, fu.vec_id) AS r FROM fu JOIN embeddings e ON e.vec_id = fu.vec_id),
 {_pool('fr', 'false', 'r')} SELECT query_id, vec_id, pool_pos AS rank FROM pp WHERE pool_pos <= 12"""
 
@@ -318,6 +317,8 @@ def _contradicts(q: str, t: str) -> str:
     return " OR ".join(f"({a} <> '' AND {b} <> '' AND NOT list_has_any(string_split({a}, ','), string_split({b}, ',')))" for a, b in pairs)
 
 
+_SAID_BY = """(SELECT dr.*, concat_ws('. ', q.title, q.text) AS asked, concat_ws('. ', t.title, t.text) AS passage FROM dr LEFT JOIN documents q ON q.doc_id = dr.query_id LEFT JOIN documents t ON t.doc_id = dr.vec_id WHERE rank <= 480)"""
+SQL["capped_pool"] = f"WITH {_DENSE}, {_pool(_SAID_BY, _contradicts('asked', 'passage'), 'rank')} SELECT query_id, vec_id, kept, pool_pos FROM pp WHERE pool_pos <= 60"
 _PLACE = "CAST('0x' || substr(md5(term), 1, 3) AS INTEGER) % 512 AS place, sum(CASE WHEN substr(md5(term), 4, 1) < '8' THEN weight ELSE -weight END) AS v"
 _CUT = "CASE WHEN length(text) > 1000 THEN regexp_replace(left(text, 1000), '(?s) [^ ]*$', '') || '...' ELSE text END"
 _SNIPPET = strip("array_to_string(string_split(regexp_replace(" + strip("text") + ", '([.!?])" + WS + "+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ')")
@@ -424,6 +425,13 @@ CASE WHEN kind = 'web' THEN CASE WHEN regexp_matches(url, '/uploads/([0-9]{{4}})
 CASE WHEN kind <> 'web' THEN coalesce(error_text, CASE WHEN mime_type IS NULL THEN 'no metadata' END) END AS error_text FROM fl"""
 SQL["known_urls"] = r"""WITH s AS (SELECT DISTINCT regexp_replace(regexp_extract(source_url, '^[ \t]*([^ \t\r\n]+)', 1), '/+$', '') AS url FROM raw_files WHERE file NOT LIKE 'doc\_%' ESCAPE '\' AND source_url <> '')
 SELECT url FROM s WHERE url <> '' UNION SELECT regexp_replace(found_on, '/+$', '') FROM inventory WHERE found_on <> ''"""
+SQL["day_grids"] = "SELECT n_regionkey, kind, kind = 'grid' AS day_grid FROM (SELECT DISTINCT n_regionkey FROM nation), (SELECT unnest(['grid', 'names', 'narrow']) AS kind)"
+SQL["title_lines"] = f"""WITH f AS (SELECT file, list_filter(string_split(body, chr(10)), lambda x: len({words('x')}) BETWEEN 3 AND 25 AND NOT lower(x) LIKE 'http%') AS ls FROM raw_files WHERE body IS NOT NULL)
+SELECT file, coalesce(left(ls[1], 120), file) AS title_line FROM f"""
+SQL["redacted_comments"] = f"WITH {_RATINGS} SELECT feedback_id, replace(comment, 'office', '<KEY>') AS shown FROM r WHERE comment IS NOT NULL"
+SQL["recent_questions"] = f"""WITH {_RATINGS}, h AS (SELECT CAST(floor(feedback_id / 5.0) AS BIGINT) AS conv, list(left({strip("coalesce(question, '')")}, 500) ORDER BY feedback_id) AS qs FROM r GROUP BY 1),
+k AS (SELECT conv, list_filter(qs, lambda x: x <> '') AS qs FROM h)
+SELECT conv, array_to_string(qs[greatest(len(qs) - 2, 1) : len(qs)], chr(10)) AS recent FROM k"""
 SQL["carried_context"] = rf"""WITH f AS (SELECT file, string_split(body, chr(10)) AS ls FROM raw_files WHERE file LIKE 'doc\_%' ESCAPE '\' AND body IS NOT NULL),
 i AS (SELECT file AS doc, CAST(k - 1 AS INTEGER) AS item_no, ls[k] AS line FROM (SELECT file, ls, unnest(range(1, len(ls) + 1)) AS k FROM f)),
 c AS (SELECT *, trim(regexp_replace(line, {_lit(WS + '+')}, ' ', 'g')) AS said, len({words('line')}) <= 6 AND NOT regexp_matches(line, '[.!?:;,]\s*$') AS heading FROM i),

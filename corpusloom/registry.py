@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions import attributes, html, questions, tables, text
 from .operators import chunking, compose, conversion, documents, evaluation, feedback, fusion, lexical, models, ranking
-from .plans.retrieve import LexicalIndex, answered, asked_phrases, hybrid, retrieved, saved_index
+from .plans.retrieve import LexicalIndex, answered, asked_phrases, contradiction, hybrid, retrieved, saved_index
 from .sources import discovery, raw_files
 from .sources.shared import shared_table
 from .streaming import limiter
@@ -125,6 +125,32 @@ def table_rows(spark, d):
     return t.select("n_regionkey", F.posexplode(lines).alias("line_no", "line"), tables.is_day_grid(head, F.col("rows")).alias("day_grid"))
 
 
+@query
+def day_grids(spark, d):
+    """Per region a calendar's month grid, the same months over names, and a grid that is too narrow."""
+    day = (F.col("n_nationkey") + 1).cast("string")
+    rows = {"grid": F.array(day, F.concat(day, F.lit(" (Mon)")), F.lit(""), day), "names": F.array(F.col("n_name"), F.col("n_name"), day, F.col("n_name")), "narrow": F.array(day, day)}
+    heads = ("January 2026", "Feb. 2026", "MAR 2026.Sunday", "Notes")
+    out = None
+    for kind, cells in rows.items():
+        t = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(cells).alias("rows"))
+        head = F.array(*(F.lit(h) for h in heads[: 2 if kind == "narrow" else 4]))
+        one = t.select("n_regionkey", F.lit(kind).alias("kind"), tables.is_day_grid(head, F.col("rows")).alias("day_grid"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def title_lines(spark, d):
+    return table(spark, d, "raw_files").where("body is not null").select("file", text.first_title_line(F.col("body"), F.col("file")).alias("title_line"))
+
+
+@query
+def redacted_comments(spark, d):
+    """Comments without a word that stands for a secret."""
+    return _ratings(spark, d).where("comment is not null").select("feedback_id", text.redacted(F.col("comment"), "office").alias("shown"))
+
+
 # --- attributes and questions -------------------------------------------------------------------
 
 
@@ -321,8 +347,14 @@ def _items(spark, d):
 
 @query
 def capped_pool(spark, d):
-    ranked = ranking.exact_rank(_dense(spark, d), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()]).join(_items(spark, d), "vec_id").withColumn("contradicts", F.col("vec_id") % 7 == 0)
-    return fusion.capped_pool(ranked, "query_id", "source").select("query_id", "vec_id", "kept", "pool_pos")
+    """Pools of the dense order; a document contradicts another one if both name a programme, year or
+    gender and none in common."""
+    ranked = ranking.exact_rank(_dense(spark, d), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()])
+    ranked = ranked.where(F.col("rank") <= fusion.POOL * fusion.SCAN).join(_items(spark, d), "vec_id")
+    said = table(spark, d, "documents").select("doc_id", F.concat_ws(". ", "title", "text").alias("said"))
+    rows = ranked.join(said.select(F.col("doc_id").alias("query_id"), F.col("said").alias("asked")), "query_id", "left").join(said.select(F.col("doc_id").alias("vec_id"), F.col("said").alias("passage")), "vec_id", "left")
+    rows = rows.fillna("", ["asked", "passage"]).withColumn("contradicts", contradiction("asked", "passage")).drop("asked", "passage")
+    return fusion.capped_pool(rows, "query_id", "source").select("query_id", "vec_id", "kept", "pool_pos")
 
 
 @query
@@ -398,6 +430,14 @@ def replayed_conversations(spark, d):
     return evaluation.replayed(r, "conv", [F.col("feedback_id")], "question")
 
 
+@query
+def recent_questions(spark, d):
+    """The last three questions before a next one, of ratings of three and more neighbouring ids."""
+    r = _ratings(spark, d).select(F.floor(F.col("feedback_id") / 5).alias("conv"), "feedback_id", F.coalesce("question", F.lit("")).alias("q"))
+    listed = r.groupBy("conv").agg(F.transform(F.array_sort(F.collect_list(F.struct("feedback_id", "q"))), lambda x: x["q"]).alias("h"))
+    return listed.select("conv", F.array_join(questions.recent_history(F.col("h")), "\n").alias("recent"))
+
+
 @query
 def scored_rerank(spark, d):
     """Pools of the dense order put in order by keyword scores, as by a scorer."""
