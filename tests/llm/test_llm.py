@@ -81,6 +81,16 @@ def test_rare_names_and_streets(spark, monkeypatch, bound):
     assert clean["r0"] == "We met Dr. [NAME] there." and "Brelk" not in clean["r4"]
 
 
+def test_short_identifiers_and_plain_names(spark):
+    probes = {"pan": "Fee paid twice against PAN HADZX7960G.", "staff": "Candidate staff number NIE-46388 did not appear.", "plain": "my name is belto xandor, when will it come?", "other": "Course CSL-5623 replaces EEL-5733, tender NIE/2026/148 closes."}
+    more = ["The scholar holds PAN QWERT1234Y now"] + [f"staff number ABC-{40000 + i} is kept" for i in range(4)]
+    c = chunks(spark, [(f"t{i}", t) for i, t in enumerate(people() + more)] + list(probes.items()))
+    kinds = defaultdict(set)
+    for _, i, k in got(personal_info.personal_info(c, spark.createDataFrame([], FEEDBACK))):
+        kinds[i].add(k)
+    assert [kinds[i] for i in probes] == [{"id_number"}, {"id_number"}, {"name"}, set()]
+
+
 def test_nothing_is_found_without_the_learned_tables(spark):
     texts = people() + ["write to a.b@x.example"]
     d = personal_info.Disclosure({}, frozenset())
