@@ -270,7 +270,7 @@ class Truncation:
         words = _WORD.findall(last)
         if not words:
             return False
-        if words[-1].lower() in _DANGLING or self.partial(words[-1]):
+        if words[-1].lower() in _DANGLING or self.partial(words[-1]) or last.count("(") > last.count(")"):
             return True
         if _ITEM.match(last):
             return len(words) < 2 or re.match(r"^\s*\d+[.)]\s+then$", last, re.I) is not None
