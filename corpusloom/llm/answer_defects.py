@@ -131,18 +131,24 @@ _DANGLING = frozenset(
 )
 
 
+# Letters that point to a language.
+MARKS = {"fr": frozenset("éèêàçôû"), "de": frozenset("äöüß"), "es": frozenset("ñ¿¡"), "pt": frozenset("ãõ")}
+
+
 def language(text: str) -> str | None:
     latin = len(_LATIN.findall(text))
-    for name, script in SCRIPTS:
-        n = len(script.findall(text))
-        if n > 3 and n > latin:
-            return name
+    if not text.isascii():
+        for name, script in SCRIPTS:
+            n = len(script.findall(text))
+            if n > 3 and n > latin:
+                return name
     if latin < 4:
         return None
     words = [w.lower() for w in _WORD.findall(text.replace("’", " "))]
-    score = {k: sum(w in v for w in words) for k, v in LANGUAGE_WORDS.items()}
-    for k, marks in (("fr", "éèêàçôû"), ("de", "äöüß"), ("es", "ñ¿¡"), ("pt", "ãõ")):
-        score[k] += 0.5 * sum(any(c in w for c in marks) for w in words)
+    score = {k: float(sum(map(v.__contains__, words))) for k, v in LANGUAGE_WORDS.items()}
+    marked = [w for w in words if not w.isascii()]
+    for k, marks in MARKS.items() if marked else ():
+        score[k] += 0.5 * sum(not marks.isdisjoint(w) for w in marked)
     (best, n), (_, m) = sorted(score.items(), key=lambda x: -x[1])[:2]
     if best in FAR and len(LANGUAGE_WORDS[best].intersection(words)) < 3:
         return None
