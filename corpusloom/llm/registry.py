@@ -101,7 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p5_found": _P5, "p5_stripped": _P5_STRIPPED}
+    return {"p2_found": _P2, "p2_groups": _P2_GROUPS, "p5_found": _P5, "p5_stripped": _P5_STRIPPED}
 
 
 _HOST = r"""regexp_replace(regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')"""
@@ -126,11 +126,20 @@ FROM (SELECT DISTINCT id FROM chunks) i LEFT JOIN s USING (id)"""
 
 _NARROW = r"'[ \t\r\n\x{a0}]+'"
 
-_P2 = f"""
-WITH c AS (SELECT DISTINCT id, lower(coalesce(title, '') || '. ' || text) AS t, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+_P2_COMMON = f"""c AS (SELECT DISTINCT id, lower(coalesce(title, '') || '. ' || text) AS t, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
 w AS (SELECT id, list_filter(string_split_regex(t, {_NARROW}), lambda x: x <> '') AS w FROM c
       WHERE len(list_filter(string_split_regex(text, {_NARROW}), lambda x: x <> '')) >= 20),
 s AS (SELECT DISTINCT id, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / CAST(x.n + y.n - k AS DOUBLE) >= 0.6"""
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+q AS (SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / CAST(x.n + y.n - k AS DOUBLE) >= 0.6)"""
+
+_P2 = f"WITH {_P2_COMMON} SELECT id_a, id_b FROM q"
+
+_P2_GROUPS = f"""WITH RECURSIVE {_P2_COMMON},
+k AS (SELECT id, array_to_string(w, chr(10)) AS content FROM w),
+e AS (SELECT id_a AS x, id_b AS y FROM q UNION ALL SELECT id_b, id_a FROM q),
+r AS (SELECT id, id AS g FROM k UNION SELECT e.y, r.g FROM r JOIN e ON e.x = r.id),
+m AS (SELECT id, min(g) AS group_id FROM r GROUP BY id),
+l AS (SELECT a.id, count(DISTINCT b.content) AS links FROM e JOIN k a ON a.id = x JOIN k b ON b.id = y WHERE a.content <> b.content GROUP BY a.id)
+SELECT k.id, min(k.id) OVER (PARTITION BY content) AS class_id, group_id, coalesce(links, 0) AS links FROM k JOIN m USING (id) LEFT JOIN l USING (id)"""
