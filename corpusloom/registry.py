@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions import attributes, html, questions, tables, text
 from .operators import chunking, compose, conversion, documents, evaluation, feedback, fusion, lexical, models, ranking
-from .plans.retrieve import LexicalIndex, answered, asked_phrases, contradiction, hybrid, retrieved, saved_index
+from .plans.retrieve import LexicalIndex, answered, asked_phrases, hybrid, retrieved, saved_index
 from .sources import discovery, raw_files
 from .sources.shared import shared_table
 from .streaming import limiter
@@ -351,9 +351,12 @@ def capped_pool(spark, d):
     gender and none in common."""
     ranked = ranking.exact_rank(_dense(spark, d), ["query_id"], [F.round("score", 9).desc(), F.col("vec_id").asc()])
     ranked = ranked.where(F.col("rank") <= fusion.POOL * fusion.SCAN).join(_items(spark, d), "vec_id")
-    said = table(spark, d, "documents").select("doc_id", F.concat_ws(". ", "title", "text").alias("said"))
-    rows = ranked.join(said.select(F.col("doc_id").alias("query_id"), F.col("said").alias("asked")), "query_id", "left").join(said.select(F.col("doc_id").alias("vec_id"), F.col("said").alias("passage")), "vec_id", "left")
-    rows = rows.fillna("", ["asked", "passage"]).withColumn("contradicts", contradiction("asked", "passage")).drop("asked", "passage")
+    said = F.concat_ws(". ", "title", "text")
+    tags = shared_table(table(spark, d, "documents").select("doc_id", *(f(said).alias(k) for k, f in attributes.READERS.items())), "tags")  # read once a document
+    side = lambda key, p: tags.select(F.col("doc_id").alias(key), *(F.col(k).alias(p + k) for k in attributes.READERS))
+    rows = ranked.join(side("query_id", "a_"), "query_id", "left").join(side("vec_id", "f_"), "vec_id", "left")
+    asked, found = ({k: F.coalesce(p + k, F.array().cast("array<string>")) for k in attributes.READERS} for p in ("a_", "f_"))
+    rows = rows.select(*ranked.columns, attributes.contradicts(asked, found).alias("contradicts"))
     return fusion.capped_pool(rows, "query_id", "source").select("query_id", "vec_id", "kept", "pool_pos")
 
 
