@@ -12,7 +12,7 @@ Valid classes are nested into the page's template: what stands between or right
 list (links, titles) fills its slots and goes with it; lists of items that are pieces themselves
 (menus, breadcrumbs) are pieces. Everything else is the page's own data: its main body.
 
-Only hashes of lines are moved: texts are read twice and never shuffled (but those of repeated ids).
+Only hashes of lines are moved; ``main_bodies`` joins the texts to their line numbers by id.
 Lines of any length are hashed; one of more than LONG_LINE words (a cookie notice, a paragraph) is a
 piece only as a whole, and in its host's class only on LONG_SHARE of the host's pages, as paragraphs
 come again on copies of a page, too. Collection-wide classes are broadcast while there are at most
