@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ NARROW_SPACE = " \t\r\n\u00a0"
 
 #: A table of at most so many rows is broadcast to look things up; a larger one is joined.
 LOOKUP_ROWS = 300_000
+#: Bits of the filter that spares keys no table holds their shuffle (4 MB).
+FILTER_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,17 +74,41 @@ def once(rows: DataFrame, value: str, key: str = "id") -> DataFrame:
     return single.unionByName(again.select(key, *(F.col(f"_row.{c}").alias(c) for c in (value, *others))))
 
 
+def key_filter(table: DataFrame) -> bytes:
+    """FILTER_BITS bits; that of a key's hash is set for every key of the table."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            at = np.array([h64(k) % FILTER_BITS for k in b.column(0).to_pylist()], np.int64)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in table.select("key").coalesce(4).mapInArrow(marked, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(r.bits, np.uint8)
+    return bits.tobytes()
+
+
 def with_lookup(rows: DataFrame, text: str, table: DataFrame, keys: Callable[[str], Iterable[str]]) -> tuple[DataFrame, dict[str, str]]:
     """rows with a column ``held`` (map of the table's keys that a text asks for), and the table as a
     dictionary. Exactly one of both is filled: the dictionary while the table (key, value) has at most
-    LOOKUP_ROWS rows, else the column, from a join by key over the distinct keys of every text."""
+    LOOKUP_ROWS rows, else the column, from a join by key over the distinct keys of every text. ``keys``
+    must give all that is looked up for a text, else results hang on the table's size."""
     table = materialize(table.select("key", "value"), "lookup")
     if table.count() <= LOOKUP_ROWS:
         return rows.withColumn("held", F.lit(None).cast("map<string,string>")), {r.key: r.value for r in table.collect()}
+    bits = rows.sparkSession.sparkContext.broadcast(key_filter(table))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = bits.value
+
+        def may_hold(k: str) -> bool:
+            at = h64(k) % FILTER_BITS
+            return bool(some[at >> 3] >> (at & 7) & 1)
+
         for b in batches:
-            pairs = [(h64(t), k) for t in b.column(0).to_pylist() if t for k in set(keys(t))]
+            pairs = [(h, k) for t in b.column(0).to_pylist() if t for h in (h64(t),) for k in set(keys(t)) if may_hold(k)]
             cols = list(zip(*pairs)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], ["h", "key"])
 

@@ -18,8 +18,10 @@ texts, which terms stand at the slots of protected entities and how often they s
 
 Nothing is reported without its entry in these tables; exact format checks follow. Tables are
 broadcast while they have at most LOOKUP_ROWS rows and joined to the texts that ask for them beyond
-that, so how rare a name, street or context is decides nothing; slot classes are as many as the
-fixed lists below have words.
+that, so how rare a name, street or context is decides nothing. Both give the same spans: a text
+asks for everything a search in it may look up (``asked``), and what spares a search rests on
+nothing but the text's own terms (``opening``). Slot classes are as many as the fixed lists below
+have words.
 
 Defined results: null and blank texts hold nothing and come back unchanged; ids that occur twice
 count once; null ids are left out; a type is reported once per field and record; placeholders
@@ -65,6 +67,8 @@ _INI = r"(?:[A-Z]\.)"
 _TITLED = re.compile(rf"(?<!\w)(?:{TITLES})\.?\s+((?:{_INI}\s?)*(?:[^\W\d_a-z][\w'’ऀ-ॏ‍-]*)(?:\s(?:{_INI}\s?)*(?:[^\W\d_a-z][\w'’ऀ-ॏ‍-]*))?)")
 _PAIR = re.compile(r"(?<![\w@.])((?:[^\W\d_a-z][\wऀ-ॏ‍]*(?:[-'’]\w+)*|[A-Z]\.))(,?\s)((?:[^\W\d_a-z][\wऀ-ॏ‍]*(?:[-'’]\w+)*|[A-Z]\.))(?![\w@])")
 
+#: Every pair, also those that a search from the end of another one meets.
+_ANY_PAIR = re.compile(f"(?={_PAIR.pattern})")
 _LOWER = re.compile(r"(?<![\w@.])(?:[^\W\d_A-Z][\wऀ-ॏ‍]*(?:[-'’]\w+)*|[a-z]\.)(?![\w@])")
 _NEXT = re.compile(r"\s([^\W\d_a-z][\w'’ऀ-ॏ‍-]*)")
 
@@ -84,7 +88,8 @@ _HEAD = re.compile(
 )
 _WORD3 = re.compile(r"[^\W\d_]+")  # scripts with marks fall into pieces, in texts and tables alike
 _LABELS = frozenset("roll identity aadhaar pan passport staff employee tax registration enrolment enrollment admission licence license voter student".split())
-_NUM_HINT = re.compile(r"[A-Z]{5}\d{4}[A-Z]|\d{5}|\d{3}[ )-]\s?\d{3}|[A-Z]\d{2}[- ][A-Z]{3}")
+_FOUR_DIGITS = re.compile(r"(?:\d\D*){3}\d")  # no number has fewer
+_INITIALS = re.compile(r"(?:[a-z]\.)+")
 _TITLE_HINT = ("Dr", "Prof", "Mr", "Ms.", "Ms ", "Miss", "Shri", "Smt", "Sri", "Kum", "Er.", "Er ", "Adv", "Mme", "Mlle", "Herr", "Frau", "श्री", "डॉ", "प्रो", "कु.", "कु ")
 _BARE = re.compile(r"(?<![\w#/.:–-])\d{1,4}[A-Za-z]?(?:/\d+|-\d+)?,?\s+([A-Z][\w'’]*(?:\s+[A-Z][\w'’]*){0,3})(?=[,\n ])")
 _CAMPUS = re.compile(r"(?:room|rooms|counter|hall|block|group|extension|rs\.?|no\.|item|course|§|page)\s*$", re.I)
@@ -287,6 +292,19 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def opening(term: str) -> str:
+    """First run of letters of a term, initials left out. Where a text has the term with a capital, this
+    is among its ``capitals``."""
+    m = _INITIALS.match(term)
+    m = _WORD3.match(term, m.end() if m else 0)
+    return m.group().replace("ς", "σ") if m else ""
+
+
+def capitals(text: str) -> list[str]:
+    """Runs of letters from a capital on, in lower case (a last sigma like others)."""
+    return _WORD3.findall("\n".join(_CAPS.findall(text)).lower().replace("ς", "σ"))
+
+
 class Disclosure:
     """What terms reveal: the corpus's answers to what a text asks (see ``asked``), and slot classes."""
 
@@ -297,8 +315,7 @@ class Disclosure:
         number = lambda x: tuple(float(y) if y else None for y in x.split(","))
         self.bits = {k[1:]: number(v) for k, v in known.items() if k[0] == "x"}
         self.shapes = {k[1:]: number(v) for k, v in known.items() if k[0] == "f"}
-        # a text holds a name only if it holds the name's longest piece
-        self.name_parts = frozenset(max(p, key=len) for n in self.names if (p := _WORD3.findall(n)))
+        self.name_parts, self.street_parts = (frozenset(map(opening, x)) for x in (self.names, self.streets))
 
     def type_of(self, s: str, ctx: str) -> str | None:
         sh = shape(s)
@@ -335,8 +352,8 @@ class Disclosure:
         for a, b, c, _ in houses(text, hint):
             if f"house\t{c}" in self.classes:
                 add(a, b, "address")
-        caps = [w.lower() for w in _CAPS.findall(text)]
-        if not self.streets.isdisjoint(caps):
+        caps = capitals(text)
+        if not self.street_parts.isdisjoint(caps):
             for a, b, _, good in streets(text, self.streets.__contains__):
                 if good:
                     add(a, b, "address")
@@ -409,15 +426,14 @@ def fields(chunks: DataFrame, feedback: DataFrame) -> DataFrame:
     return c.unionByName(f).where("rec_id is not null and text is not null and trim(text) <> ''")
 
 
-_CAPITAL = re.compile(r"[^\W\d_a-z][\w'’ऀ-ॏ‍-]*")
-_PLAIN = re.compile(r"[^\W\d_a-z][\wऀ-ॏ‍]*(?:[-'’]\w+)*")
-
-
 def asked(text: str) -> set[str]:
-    """All keys a text may ask for."""
-    out = {"n" + w.lower() for p in (_CAPITAL, _PLAIN) for w in p.findall(text)}
-    out |= {"s" + w.strip(",.;:").lower() for w in text.split() if w[0].isupper()}
-    if _NUM_HINT.search(text):
+    """All keys that ``Disclosure.spans`` may look up, whatever the tables hold."""
+    said = {w for m in _TITLED.finditer(text) for w in m.group(1).split()}
+    said.update(_NEXT.findall(text), _LOWER.findall(text), *(m.group(1, 3) for m in _ANY_PAIR.finditer(text)))
+    out = {"n" + w.lower() for w in said}
+    out.update("n" + w for w in text.replace(",", " ").split())
+    out.update("s" + w.split(",", 1)[0].lower() for w in text.split() if "A" <= w[0] <= "Z")
+    if _FOUR_DIGITS.search(text):
         for a, _, s in numbers(text):
             out.add("x" + context(text, a))
             for x in (s, s.split(" ", 1)[0], *inner_pieces(s)):

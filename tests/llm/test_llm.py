@@ -91,6 +91,49 @@ def test_short_identifiers_and_plain_names(spark):
     assert [kinds[i] for i in probes] == [{"id_number"}, {"id_number"}, {"name"}, set()]
 
 
+def test_personal_info_is_the_same_joined_or_broadcast(spark, monkeypatch):
+    probes = {
+        "lower": ("name: belto xandor, when will it come?", "name: [NAME], when will it come?"),
+        "initial": ("We met Dr. Q.Vornak there.", "We met Dr. [NAME] there."),
+        "behind": ("from s.Avira-Belto Xandor today", "from s.Avira-[NAME] today"),
+        "before": ("for Avira Zolnar-Rao@ost only", "for [NAME]-Rao@ost only"),
+        "opening": ("told A. Jo-paul of it", "told [NAME] of it"),
+        "street": ("see 12 Old Brelk,Ostrow now", "see [ADDRESS] now"),
+        "number": ("paid against PAN HADZX7960G.", "paid against PAN [ID_NUMBER]."),
+    }
+    more = ["Mr. Jo-paul came", "Mr. Jo went", "The scholar holds PAN QWERT1234Y now", *(f"House No. {i}, Old Brelk, Ostrow" for i in range(3))]
+    c = chunks(spark, [(f"t{i}", t) for i, t in enumerate(people() + more)] + [(k, t) for k, (t, _) in probes.items()])
+    f = spark.createDataFrame([(7, "avira wimble", None, None, "belto, xandor?")], FEEDBACK)
+    found, clean = [], []
+    for bound in (300_000, 0):
+        monkeypatch.setattr(common, "LOOKUP_ROWS", bound)
+        found.append(got(personal_info.personal_info(c, f)))
+        clean.append(got(personal_info.sanitise(c, f)))
+    assert found[0] == found[1] and clean[0] == clean[1]
+    assert {i: t for _, i, t in clean[0] if i in probes} == {k: t for k, (_, t) in probes.items()}
+    assert ("feedback.question", "7", "[NAME]") in clean[0] and ("feedback.comment", "7", "[NAME]?") in clean[0]
+
+
+def test_a_text_asks_for_all_it_looks_up():
+    r = random.Random(7)
+    names = "avira zolnar jean paul jean-paul jo jo-paul a.zolnar o'brien d'souza νικος νικοσ'α i̇stan शर्मा शर्म राम a1bcd".split()
+    ends = "brelk d'oro o'hara road a1x".split()
+    signs, shown = ["call", "roll number", "order", "^"], ["+91 51234 51234", "5123456789", "BT10-CSE-101", "040-2345678 5123456789", "123 45 67 89"]
+    every = {"n" + w: "" for w in names} | {"s" + w: "" for w in ends} | {"x" + w: "2.5,1.5" for w in signs} | {"f" + personal_info.shape(w): "1.0,0.5,1.0,1.0" for w in shown}
+    between = [" "] * 9 + [", ", ",", ".", "-", "'", "\n", "@", " (", ") ", " Dr. ", " A.", " A. ", " b. ", " 12 ", " 7 Old ", "s.Jean-", "3", "\u093f"]
+    written = [str.lower, str.capitalize, str.title, str.upper]
+    some = 0
+    for _ in range(1500):
+        words = [r.choice(written)(r.choice(names + ends + ["in", "old"])) if r.random() < 0.85 else f"{r.choice(signs)} {r.choice(shown)}" for _ in range(r.randint(2, 8))]
+        t = "".join(w + r.choice(between) for w in words)
+        known = {k: v for k, v in every.items() if r.random() < 0.6}
+        spans = personal_info.Disclosure(known, frozenset(["street\tlane"])).spans(t)
+        held = {k: known[k] for k in personal_info.asked(t) if k in known}
+        assert personal_info.Disclosure(held, frozenset(["street\tlane"])).spans(t) == spans, t
+        some += len(spans)
+    assert some > 300
+
+
 def test_nothing_is_found_without_the_learned_tables(spark):
     texts = people() + ["write to a.b@x.example"]
     d = personal_info.Disclosure({}, frozenset())
